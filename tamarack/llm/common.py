@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+import zipfile
+from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +60,26 @@ def clear_scratch(spark: SparkSession) -> None:
     remove(spark, f"{shared_dir(spark)}/tamarack-scratch")
 
 
+def _ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors once for each Spark application; they may have no copy of it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tamarack_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="tamarack-package-")) / "tamarack.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(archive))
+    sc._tamarack_shipped = True
+
+
+def in_python(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """Maps a DataFrame's Arrow batches by a function of this package."""
+    _ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -125,6 +147,25 @@ def unpacked(df: DataFrame, row: str, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(row)[f.name].alias(f.name) for f in schema.fields])
 
 
+def keep_rows(docs: DataFrame, decided: DataFrame, key: Column) -> DataFrame:
+    """All columns of the documents that stay.
+
+    decided has one row per document: doc_id, key, kept, where key is the value of `key` for that document.
+    Rows that repeat both doc_id and key are one document; if any of them stays, one does. Only the rows
+    that go are joined, by their keys.
+    """
+    gone = decided.where(~F.col("kept")).select("doc_id", "key").distinct()
+    held = decided.where("kept").select(F.col("doc_id").alias("h_id"), F.col("key").alias("h_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key"))
+    again = cut(gone.join(held, same, "left_semi"))
+    row = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("d_id"), key.alias("d_key"))
+    same = F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_key") == F.col("key"))
+    kept = row.join(gone, same, "left_anti")
+    if not again.isEmpty():
+        kept = kept.unionByName(row.join(again, same, "left_semi").dropDuplicates(["d_id", "d_key"]))
+    return unpacked(kept, "row", docs.schema)
+
+
 def require(df: DataFrame, **kinds: str) -> None:
     """Complains about a missing column at once rather than within a job."""
     missing = [c for c in kinds if c not in df.columns]

@@ -151,18 +151,5 @@ def drop_exact_copies(docs: DataFrame, text: str = "text", keep: str = "largest"
 
     Cases as in exact_groups. Rows that repeat both doc_id and text count as one document; one stays.
     """
-    groups = common.cut(exact_groups(docs, text, keep))
-    gone = groups.where(~F.col("kept")).groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("gone"), F.lit(True).alias("known"))
-    held = groups.where("kept").select(F.col("doc_id").alias("k_id"), F.col("sha").alias("k_sha"))
-    # A row that stays and one that goes may be the same document twice.
-    again = gone.join(held, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")), "left_semi")
-    again = common.cut(again.select("doc_id", "sha"))
-    twice = not again.isEmpty()
-    row = docs.select(
-        common.packed(docs).alias("row"), F.col("doc_id").alias("d_id"), digest(normalised(text)).alias("d_sha")
-    )
-    same = F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_sha") == F.col("sha"))
-    kept = row.join(gone.select("doc_id", "sha"), same, "left_anti")
-    if twice:
-        kept = kept.unionByName(row.join(again, same, "left_semi").dropDuplicates(["d_id", "d_sha"]))
-    return common.unpacked(kept, "row", docs.schema)
+    decided = common.cut(exact_groups(docs, text, keep).select("doc_id", F.col("sha").alias("key"), "kept"))
+    return common.keep_rows(docs, decided, digest(normalised(text)))

@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, mixing, sharding
+from . import common, exact_dedup, langid, mixing, packing, sharding, simhash
+
+
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    groups = simhash.simhash_groups(common.documents(spark, sf_dir))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,16 +30,31 @@ def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(*common.DOCUMENT_COLUMNS, "copy", "position")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences of at most 1024 tokens."""
+    return packing.pack_documents(common.documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of all documents; the largest doc_id stays."""
     groups = exact_dedup.exact_groups(common.documents(spark, sf_dir), keep="largest")
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a classifier that never saw the held-out fifth."""
+    docs = common.documents(spark, sf_dir)
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash_dedup": op3_simhash_dedup,
     "op4_hash_tree_sharding": op4_hash_tree_sharding,
     "op5_poisson_mixing": op5_poisson_mixing,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 _SHARDS = """

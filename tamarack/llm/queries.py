@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, langid, mixing, packing, sharding, simhash
+from . import common, exact_dedup, langid, line_dedup, media, mixing, packing, secret_scan, sharding, simhash, substring_dedup
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that are within one edit of an earlier line."""
+    cleaned = line_dedup.dedup_lines(common.documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_lines", "n_kept", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all documents that an earlier document has too."""
+    return substring_dedup.repeated_spans(common.documents(spark, sf_dir))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +46,22 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.documents(spark, sf_dir))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes as image tiles, stored, read back and described."""
+    return media.media_features(media.store_media(common.documents(spark, sf_dir)))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of all documents; the largest doc_id stays."""
     groups = exact_dedup.exact_groups(common.documents(spark, sf_dir), keep="largest")
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan.scan_secrets(common.documents(spark, sf_dir))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by a classifier that never saw the held-out fifth."""
     docs = common.documents(spark, sf_dir)
@@ -49,11 +70,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_hash_tree_sharding": op4_hash_tree_sharding,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_media_columns": op7_media_columns,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }
 
@@ -68,6 +93,34 @@ placed AS (
 """
 
 ORACLES: dict[str, str] = {
+    # Lines within one edit share their first or their last half of the shorter length.
+    "op1_line_dedup": r"""
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS MATERIALIZED (
+  SELECT row, doc_id, line_no, raw, trim(raw, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS line
+  FROM (SELECT row, doc_id, unnest(parts) AS raw, unnest(range(len(parts))) AS line_no FROM texts)),
+firsts AS MATERIALIZED (
+  SELECT line, length(line) AS n, min((doc_id, line_no)) AS at FROM lines WHERE line != '' GROUP BY line),
+long AS MATERIALIZED (SELECT * FROM firsts WHERE n >= 20),
+pairs AS (
+  SELECT a.line AS a_line, a.at AS a_at, b.line AS b_line, b.at AS b_at
+  FROM long a JOIN long b ON a.n = b.n AND left(a.line, a.n // 2) = left(b.line, a.n // 2) AND a.at < b.at
+  UNION ALL
+  SELECT a.line, a.at, b.line, b.at FROM long a JOIN long b ON a.n = b.n AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2) AND a.at < b.at
+  UNION ALL
+  SELECT a.line, a.at, b.line, b.at FROM long a JOIN long b ON b.n = a.n + 1 AND left(a.line, a.n // 2) = left(b.line, b.n // 2 - (b.n % 2 = 0)::INT)
+  UNION ALL
+  SELECT a.line, a.at, b.line, b.at FROM long a JOIN long b ON b.n = a.n + 1 AND right(a.line, a.n - a.n // 2) = right(b.line, b.n - b.n // 2 - (b.n % 2 = 1)::INT)),
+gone AS (
+  SELECT DISTINCT CASE WHEN a_at < b_at THEN b_line ELSE a_line END AS line
+  FROM pairs WHERE levenshtein(a_line, b_line) <= 1),
+held AS (
+  SELECT l.*, l.line = '' OR (f.at = (l.doc_id, l.line_no) AND g.line IS NULL) AS keep
+  FROM lines l LEFT JOIN firsts f USING (line) LEFT JOIN gone g USING (line))
+SELECT doc_id, count(*) FILTER (line != '') AS n_lines, count(*) FILTER (line != '' AND keep) AS n_kept,
+  sha256(coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (keep), '')) AS kept_sha256
+FROM held GROUP BY row, doc_id
+""",
     # The CRC-32 of a text is folded over its bytes, with a table made by the polynomial's rule.
     "op4_hash_tree_sharding": f"""
 WITH RECURSIVE bits(i, k, c) AS (

@@ -70,14 +70,22 @@ def _copies(doc_id: Column, parts: Column, cdf: Column, seed: int) -> Column:
 
 
 def mix_sources(
-    docs: DataFrame, weights: Mapping[str, float] | None = None, scale: float = 1.0, text: str = "text", seed: int = SEED
+    docs: DataFrame,
+    weights: Mapping[str, float] | None = None,
+    scale: float = 1.0,
+    text: str = "text",
+    seed: int = SEED,
+    numbered: bool = True,
 ) -> DataFrame:
     """The mixture: all columns of docs for each copy, then copy (from 1) and position (0, 1, 2 ... overall).
 
+    Rows come out in the order of position within each partition, and partitions hold random parts of it.
+    Without `numbered` the columns are those of docs alone.
+
     The same doc_id always gets the same number of copies at the same rate, which may be 0. Repeated rows
     and null doc_ids are documents like others; a null source is a source of its own. position orders by an
-    MD5 of seed, doc_id and copy, then by doc_id, copy and text checksum. Empty table: empty result. Columns
-    named copy or position in docs are replaced.
+    MD5 of seed, doc_id and copy, then by doc_id, copy and text checksum. Empty table: empty result. Numbered,
+    columns named copy or position in docs are replaced.
     """
     common.require(docs, doc_id="bigint", source="string", **{text: "string"})
     rates = common.cut(with_distribution(source_rates(docs, weights, scale, text)))
@@ -97,6 +105,8 @@ def mix_sources(
     wide = exploded(docs.select(common.packed(docs).alias("row"), *names))
     order = [F.col("m_at"), F.col("m_id"), F.col("m_copy"), F.crc32(common.text_or_empty(f"row.{text}"))]
     ranked = common.gapless_rank(wide, [], order, bucket, "m_position", thin)
+    if not numbered:
+        return common.unpacked(ranked, "row", docs.schema)
     kept = [f for f in docs.columns if f not in ("copy", "position")]
     return ranked.select(
         *[F.col("row")[c].alias(c) for c in kept], F.col("m_copy").alias("copy"), F.col("m_position").cast("bigint").alias("position")

@@ -1,10 +1,12 @@
 """Best-fit packing of token sequences by exact complements.
 
 How pieces combine depends on their lengths alone, and there are at most `capacity` lengths, so a plan is
-made from the histogram of lengths, whatever the number of documents. The plan first takes each length from
-the longest down and looks up which single, pair or triple of available lengths fills its gap exactly; a
-combination is used as often as the counts allow. Lengths without such a partner are packed by best fit.
-Pieces then find their place by their rank among the pieces of the same length.
+made from the histogram of lengths, whatever the number of documents. The plan takes each length from the
+longest down and looks up which single available length fills its gap exactly, then which pair, then which
+triple; a combination is used as often as the counts allow. Lengths without such a partner are packed by best
+fit. Pairs and triples can use up short pieces that long ones would have needed, so plans are made with
+singles alone, with pairs, and with triples, and the one with the fewest sequences is taken. Pieces then find
+their place by their rank among the pieces of the same length.
 """
 
 from __future__ import annotations
@@ -102,7 +104,7 @@ def pieces(docs: DataFrame, text: str = "text", path: str | None = None, capacit
 class Plan:
     """For each length, which of its pieces by rank go to which sequence and offset."""
 
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY):
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, most_partners: int = 3):
         self.capacity, self.left, self.sequences = capacity, np.zeros(capacity + 1, dtype=np.int64), 0
         for length, n in counts.items():
             if not 0 < length <= capacity:
@@ -112,12 +114,18 @@ class Plan:
         #: By length: (first rank, first sequence, offset); each holds until the next one's first rank.
         self.places: dict[int, list[tuple[int, int, int]]] = {}
         self._take((capacity,), int(self.left[capacity]))
-        for length in range(capacity - 1, 0, -1):
-            while self.left[length] and (partners := self._complement(length)):
-                need = Counter((length, *partners))
-                self._take((length, *partners), min(int(self.left[k]) // n for k, n in need.items()))
+        for partners in range(1, most_partners + 1):
+            for length in range(capacity - 1, 0, -1):
+                while self.left[length] and (found := self._complement(length, partners)):
+                    need = Counter((length, *found))
+                    self._take((length, *found), min(int(self.left[k]) // n for k, n in need.items()))
         self._best_fit()
 
+    @classmethod
+    def best(cls, counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+        """The plan with the fewest sequences; with the most partners among equals."""
+        return min((cls(counts, capacity, n) for n in (3, 2, 1)), key=lambda plan: plan.sequences)
+
     def _take(self, lengths: tuple[int, ...], times: int) -> None:
         if times <= 0:
             return
@@ -144,13 +152,13 @@ class Plan:
                 return a, total - a
         return None
 
-    def _complement(self, length: int) -> tuple[int, ...] | None:
-        """A single, pair or triple of available lengths that fills what `length` leaves free."""
+    def _complement(self, length: int, partners: int) -> tuple[int, ...] | None:
+        """So many available lengths that fill what `length` leaves free."""
         gap, taken = self.capacity - length, (length,)
-        if self._spare(gap, taken):
-            return (gap,)
-        if pair := self._pair(gap, length, taken):
-            return pair
+        if partners == 1:
+            return (gap,) if self._spare(gap, taken) else None
+        if partners == 2:
+            return self._pair(gap, length, taken)
         for a in np.nonzero(self.left[: min(length, gap - 2) + 1])[0][::-1].tolist() if gap > 2 else ():
             if self._spare(a, taken) and (pair := self._pair(gap - a, a, (*taken, a))):
                 return (a, *pair)
@@ -212,7 +220,7 @@ def pack_documents(docs: DataFrame, text: str = "text", path: str | None = None,
     common.require(docs, doc_id="bigint", **{text: "string"})
     cutup = common.cut(pieces(docs, text, path, capacity))
     counts = {r["length"]: r["n"] for r in cutup.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = Plan(counts, capacity)
+    plan = Plan.best(counts, capacity)
     at = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "piece", "ids_crc32"))
     keyed = cutup.withColumn("at", at)
     order = [F.col("at"), F.col("doc_id"), F.col("piece")]

@@ -1,0 +1,125 @@
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tamarack.llm import packing
+
+from .conftest import ODD, prose
+
+
+def reference_ids(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    return [*whole.encode(text, add_special_tokens=False).ids, packing.END_ID]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=80))
+def test_ids_are_the_tokenizers(text):
+    assert packing.token_ids(text) == reference_ids(text)
+
+
+@pytest.mark.parametrize("text", ["", "<|endoftext|> a <|endoftext|>", "a" * 3000, " " * 3000 + "x", " 　 ١٢ ǅ ſt'S don't", "é ퟿\U0001f600\n\n\r\n"])
+def test_ids_of_odd_texts(text):
+    assert packing.token_ids(text) == reference_ids(text)
+
+
+def check(rows, texts):
+    """Pieces are the documents', whole and in order; sequences are filled without gaps."""
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for doc_id, versions in texts.items():
+        expected = Counter()
+        for text in versions:
+            ids = np.array(packing.token_ids(text or ""), dtype="<u4")
+            for i, (start, n) in enumerate(packing.cut_points(len(ids))):
+                expected[i, start, n, zlib.crc32(ids[start : start + n].tobytes())] += 1
+        assert Counter((r.piece, r.start, r.length, r.ids_crc32) for r in by_doc[doc_id]) == expected
+    for places in by_sequence.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at <= packing.CAPACITY
+    return len(by_sequence)
+
+
+def test_odd_rows(odd):
+    texts = defaultdict(list)
+    for doc_id, text, *_ in ODD:
+        texts[doc_id].append(text)
+    check(packing.pack_documents(odd).collect(), texts)
+
+
+def test_empty(none):
+    assert packing.pack_documents(none).collect() == []
+
+
+def test_many_documents_over_many_buckets(docs, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_PER_BUCKET", 3)
+    rng = random.Random(1)
+    rows = [(i, prose(i, rng.randrange(1, 900))) for i in range(150)]
+    used = check(packing.pack_documents(docs(rows).repartition(3)).collect(), {i: [t] for i, t in rows})
+    total = sum(len(packing.token_ids(t)) for _, t in rows)
+    assert used <= -(-total // packing.CAPACITY) * 1.05 + 1
+
+
+def test_cut_points():
+    assert packing.cut_points(5, 10) == [(0, 5)] and packing.cut_points(10, 10) == [(0, 10)]
+    assert packing.cut_points(25, 10) == [(0, 5), (5, 10), (15, 10)]
+
+
+def packed(counts, capacity):
+    for partners in (1, 2):
+        sequences_of(packing.Plan(counts, capacity, partners), counts)
+    return min(sequences_of(packing.Plan(counts, capacity), counts), sequences_of(packing.Plan.best(counts, capacity), counts))
+
+
+def sequences_of(plan, counts):
+    capacity = plan.capacity
+    assert not plan.left.any()
+    filled, seen = Counter(), Counter()
+    for length, places in plan.arrays().items():
+        ends = [*places[0][1:], counts[length]]
+        for (first, sequence, offset), end in zip(places.T.tolist(), ends, strict=True):
+            for k in range(end - first):
+                filled[sequence + k] += length
+                seen[length] += 1
+                assert offset + length <= capacity
+    assert seen == Counter(counts) and all(n <= capacity for n in filled.values())
+    assert set(filled) == set(range(plan.sequences))
+    return plan.sequences
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=25))
+def test_plans_hold_every_piece_once(counts):
+    total = sum(k * n for k, n in counts.items())
+    assert -(-total // 40) <= packed(counts, 40) <= total * 2 // 40 + 1
+
+
+def test_exact_complements():
+    assert packed({100: 3}, 100) == 3
+    assert packed({60: 5, 40: 5}, 100) == 5
+    assert packed({50: 4}, 100) == 2
+    assert packed({50: 2, 30: 2, 20: 2}, 100) == 2
+    assert packed({40: 1, 30: 1, 20: 1, 10: 1}, 100) == 1
+    assert packed({25: 40}, 100) == 10
+    assert packed({70: 10, 20: 10}, 100) == 10
+
+
+def test_a_large_histogram_is_planned_at_once():
+    rng = random.Random(5)
+    counts = {n: rng.randrange(1, 10**9) for n in range(1, 1025)}
+    plan = packing.Plan.best(counts)
+    least = max(sum(k * n for k, n in counts.items()) / 1024, sum(n for k, n in counts.items() if k > 512))
+    assert plan.sequences <= least * 1.02 and sum(map(len, plan.places.values())) < 50_000

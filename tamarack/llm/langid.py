@@ -22,7 +22,7 @@ BUCKETS, DIMENSIONS = 4096, 16
 #: The classifier is fitted on about this many labelled documents, in equal parts for each language; never on more than twice as many.
 SAMPLE = 4096
 FOLDS, CALIBRATION_PART = 5, 5
-EPOCHS, BATCH, RATE = 30, 32, 1.0
+STEPS, BATCH, RATE = 4000, 32, 1.0
 #: Share of rightly classified calibration documents that the rejection may cost.
 REJECTED_SHARE = 0.001
 UNKNOWN = "und"
@@ -99,8 +99,9 @@ def train(counts: np.ndarray, labels: Sequence[str], seed: int = 0) -> Model:
         rest[:] = False
     x = (counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
     fit = np.nonzero(~rest)[0]
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = -(-STEPS * BATCH // len(fit))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = random.permutation(fit)
         for i in range(0, len(order), BATCH):
             rows = order[i : i + BATCH]
@@ -127,7 +128,9 @@ def train(counts: np.ndarray, labels: Sequence[str], seed: int = 0) -> Model:
         s = model.scores(counts[held])
         right = s.argmax(axis=1) == y[held]
         if right.any():
-            model.least_score = min(0.5, float(np.quantile(s.max(axis=1)[right], REJECTED_SHARE)))
+            # Few rows can't show so small a share; the less they can, the lower the score.
+            support = min(1.0, right.sum() * REJECTED_SHARE)
+            model.least_score = support * min(0.5, float(np.quantile(s.max(axis=1)[right], REJECTED_SHARE)))
     return model
 
 
@@ -216,5 +219,5 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def keep_identified(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """All columns of the documents whose language isn't rejected."""
     decided = identify(docs, fit(docs, text, sample), text)
-    decided = common.cut(decided.select("doc_id", "key", (~F.col("rejected")).alias("kept")))
-    return common.keep_rows(docs, decided, F.xxhash64(common.text_or_empty(text)))
+    gone = common.cut(decided.where("rejected").select("doc_id", "key").distinct())
+    return common.without(docs, gone, F.xxhash64(common.text_or_empty(text)))

@@ -147,23 +147,44 @@ def unpacked(df: DataFrame, row: str, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(row)[f.name].alias(f.name) for f in schema.fields])
 
 
+#: Tables of at most so many narrow rows (100 bytes each at most) may be broadcast: 20 MB.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a cut table for broadcast if it was counted to be small; else Spark joins by shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _keyed(docs: DataFrame, key: Column) -> DataFrame:
+    return docs.select(packed(docs).alias("row"), F.col("doc_id").alias("d_id"), key.alias("d_key"))
+
+
+def _same() -> Column:
+    return F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_key") == F.col("key"))
+
+
+def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """All columns of the documents whose doc_id and `key` aren't in gone (doc_id, key: a cut table)."""
+    kept = _keyed(docs, key).join(broadcast_if_small(gone), _same(), "left_anti")
+    return unpacked(kept, "row", docs.schema)
+
+
 def keep_rows(docs: DataFrame, decided: DataFrame, key: Column) -> DataFrame:
-    """All columns of the documents that stay.
+    """All columns of the documents that stay, each once.
 
     decided has one row per document: doc_id, key, kept, where key is the value of `key` for that document.
     Rows that repeat both doc_id and key are one document; if any of them stays, one does. Only the rows
     that go are joined, by their keys.
     """
-    gone = decided.where(~F.col("kept")).select("doc_id", "key").distinct()
-    held = decided.where("kept").select(F.col("doc_id").alias("h_id"), F.col("key").alias("h_key"))
-    same = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key"))
-    again = cut(gone.join(held, same, "left_semi"))
-    row = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("d_id"), key.alias("d_key"))
-    same = F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_key") == F.col("key"))
-    kept = row.join(gone, same, "left_anti")
-    if not again.isEmpty():
-        kept = kept.unionByName(row.join(again, same, "left_semi").dropDuplicates(["d_id", "d_key"]))
-    return unpacked(kept, "row", docs.schema)
+    documents = decided.groupBy("doc_id", "key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    special = cut(documents.where("n > 1 OR NOT kept"))
+    again = special.where("kept").select("doc_id", "key")
+    kept = without(docs, special.select("doc_id", "key"), key)
+    if again.isEmpty():
+        return kept
+    once = _keyed(docs, key).join(broadcast_if_small(again), _same(), "left_semi").dropDuplicates(["d_id", "d_key"])
+    return kept.unionByName(unpacked(once, "row", docs.schema))
 
 
 def require(df: DataFrame, **kinds: str) -> None:

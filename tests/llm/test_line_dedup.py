@@ -1,0 +1,90 @@
+import random
+
+import pytest
+
+from tamarack.llm import line_dedup
+
+from .conftest import ODD
+
+BLANKS = line_dedup.BLANKS
+
+
+def within_one(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    i = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+    return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
+
+
+def brute(rows):
+    """By the definition: every line against every earlier different line."""
+    seen, order = {}, []
+    unique = {(i, t or "") for i, t in rows}
+    for doc_id, text in sorted(unique, key=lambda r: (r[0] is not None, r[0] or 0)):
+        for n, raw in enumerate(text.split("\n")):
+            line = raw.strip(BLANKS)
+            if line and line not in seen:
+                seen[line] = (doc_id, text, n)
+                order.append(line)
+    gone = set()
+    for k, line in enumerate(order):
+        if len(line) >= 20 and any(len(e) >= 20 and within_one(line, e) for e in order[:k]):
+            gone.add(line)
+    found = []
+    for doc_id, text in rows:
+        lines = (text or "").split("\n")
+        full = [n for n, raw in enumerate(lines) if raw.strip(BLANKS)]
+        kept = [n for n in full if seen[lines[n].strip(BLANKS)] == (doc_id, text or "", n) and lines[n].strip(BLANKS) not in gone]
+        found.append((doc_id, len(full), len(kept), "\n".join(raw for n, raw in enumerate(lines) if n in kept or n not in full)))
+    return sorted(found, key=repr)
+
+
+def got(df):
+    return sorted((tuple(r) for r in line_dedup.dedup_lines(df).collect()), key=repr)
+
+
+def test_odd_rows(odd):
+    assert got(odd) == brute([(r[0], r[1]) for r in ODD])
+
+
+def test_empty(none):
+    assert got(none) == []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_edited_lines(docs, seed):
+    rng = random.Random(seed)
+    base = ["".join(rng.choice("abé \U0001f600") for _ in range(rng.randrange(18, 40))).strip() for _ in range(12)]
+
+    def edited(line):
+        for _ in range(rng.randrange(3)):
+            i = rng.randrange(len(line) + 1)
+            line = rng.choice([line[:i] + line[i + 1 :], line[:i] + "x" + line[i:], line[:i] + "y" + line[i + 1 :], line[:i] + line[i : i + 1] * 2 + line[i + 1 :]])
+        return line
+
+    rows = []
+    for i in range(30):
+        lines = [edited(rng.choice(base)) if rng.random() < 0.8 else rng.choice(["", "  ", "short", " tab\t"]) for _ in range(6)]
+        rows.append((i, "\n".join(lines)))
+    rows += [(3, rows[3][1]), (None, rows[4][1])]
+    assert got(docs(rows).repartition(3)) == brute(rows)
+
+
+def test_every_single_edit_is_found(docs):
+    line = "abcdefghijklmnopqrstuvwxyz"
+    edits = {line[:i] + line[i + 1 :] for i in range(26)} | {line[:i] + c + line[i:] for i in range(27) for c in "a#"} | {line[:i] + "#" + line[i + 1 :] for i in range(26)}
+    rows = [(0, line)] + [(i + 1, e) for i, e in enumerate(sorted(edits - {line}))]
+    assert [r[2] for r in got(docs(rows))].count(1) == 1
+
+
+def test_a_common_line_and_a_template(docs):
+    rows = [(i, f"All rights reserved by everybody\nThe number of this document is {i:05d}\nand it has one more line: {i * 7919}") for i in range(300)]
+    assert got(docs(rows).repartition(5)) == brute(rows)
+
+
+def test_without_the_broadcast(docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_DOCUMENTS", 0)
+    rows = [(i, f"a line that is long enough number {i}") for i in range(20)]
+    assert got(docs(rows)) == brute(rows)

@@ -1,0 +1,79 @@
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+
+from tamarack.llm import media
+
+from .conftest import ODD
+
+
+def test_odd_rows(odd):
+    found = media.media_features(media.store_media(odd)).collect()
+    assert len(found) == len(ODD)
+    by_text = {}
+    expected = []
+    for doc_id, text, *_ in ODD:
+        data = (text or "").encode()
+        payload = data + b"\xff" * (-len(data) % 576 or (0 if data else 576))
+        expected.append((doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])))
+    assert sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in found), key=repr) == sorted(expected, key=repr)
+    for r in found:
+        assert by_text.setdefault(r.payload_sha256, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+
+
+def test_stored_bytes_are_npy_tiles(docs):
+    row = media.store_media(docs([(1, "x" * 600)])).first()
+    tiles = np.load(__import__("io").BytesIO(row.media))
+    assert tiles.shape == (2, 24, 24) and tiles.dtype == np.uint8 and tiles.tobytes()[:600] == b"x" * 600
+    assert hashlib.sha256(row.media).hexdigest() == media.media_features(media.store_media(docs([(1, "x" * 600)]))).first().media_sha256
+
+
+def test_empty(none):
+    assert media.media_features(media.store_media(none)).collect() == []
+
+
+def brute_resize(image, height, width):
+    rows, columns = image.shape
+    big = np.kron(image.astype(float), np.ones((height, width)))  # each cell is then a block of whole samples
+    return big.reshape(height, rows, width, columns).mean(axis=(1, 3))
+
+
+@pytest.mark.parametrize("shape", [(24, 24), (7, 5), (1, 1), (100, 9)])
+def test_area_resize(shape):
+    image = np.random.default_rng(1).integers(0, 256, shape).astype(np.uint8)
+    assert np.allclose(media.area_resize(image[None], 8, 9)[0], brute_resize(image, 8, 9))
+
+
+def test_difference_hash():
+    rising = np.tile(np.arange(24, dtype=np.uint8) * 10, (24, 1))
+    assert media.difference_hashes(np.stack([rising, rising[:, ::-1], np.full((24, 24), 7, np.uint8)])).tolist() == [2**64 - 1, 0, 0]
+
+
+def test_grey_images_round_trip():
+    for shape in ((3, 5), (24, 24), (1, 1), (5, 8)):
+        image = np.random.default_rng(2).integers(0, 256, shape).astype(np.uint8)
+        assert (media.decode_image(media.encode_pgm(image)) == image).all()
+        assert (media.decode_image(media.encode_bmp(image)) == image[:, :, None]).all()
+
+
+def test_netpbm_kinds():
+    assert media.decode_image(b"P1 # c\n3 1\n1 0 1\n").tolist() == [[0, 255, 0]]
+    assert media.decode_image(b"P4\n3 2\n" + bytes([0b10100000, 0b01000000])).tolist() == [[0, 255, 0], [255, 0, 255]]
+    assert media.decode_image(b"P2\n# c\n2 1 255\n7 200\n").tolist() == [[7, 200]]
+    assert media.decode_image(b"P3\n1 1\n255\n1 2 3\n").tolist() == [[[1, 2, 3]]]
+    assert media.decode_image(b"P6\n1 1\n255\n\x01\x02\x03").tolist() == [[[1, 2, 3]]]
+    assert media.decode_image(b"P5\n1 1\n65535\n\x01\x02").tolist() == [[258]]
+    for bad in (b"", b"P7\n1 1\n", b"GIF89a", b"P5\nx"):
+        with pytest.raises(ValueError):
+            media.decode_image(bad)
+
+
+def test_bmp_of_24_bits_and_top_down():
+    import struct
+
+    pixels = b"\x03\x02\x01\x06\x05\x04\0\0"
+    for height, rows in ((2, pixels * 2), (-2, pixels * 2)):
+        head = struct.pack("<2sIHHI", b"BM", 54 + 16, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, height, 1, 24, 0, 16, 0, 0, 0, 0)
+        assert media.decode_image(head + rows).tolist() == [[[1, 2, 3], [4, 5, 6]]] * 2

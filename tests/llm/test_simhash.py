@@ -1,0 +1,122 @@
+import random
+import re
+
+import numpy as np
+import pytest
+from xxhash import xxh64_intdigest
+
+from tamarack.llm import components, simhash
+
+from .conftest import ODD, prose
+
+
+def brute_print(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)]
+    hashes = [xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints, radius=2):
+    """Of each number, the least index that links reach."""
+    at = np.array(prints, dtype=np.uint64)
+    label = list(range(len(prints)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(at)):
+            near = np.nonzero(np.bitwise_count(at ^ at[i]) <= radius)[0]
+            least = min(label[j] for j in near)
+            for j in near:
+                if label[j] != least:
+                    label[j], changed = least, True
+    return label
+
+
+def signed(x):
+    return int(np.uint64(x).astype(np.int64)) if x < 2**63 else x - 2**64
+
+
+def test_fingerprints_of_odd_texts(odd):
+    short = [r for r in ODD if r[1] is None or len(r[1]) < 10_000]
+    found = {r.doc_id: r.fp for r in simhash.fingerprints(odd).collect()}
+    for doc_id, text, *_ in short:
+        if doc_id is not None:
+            assert found[doc_id] == signed(brute_print(text))
+
+
+def test_long_texts_are_cut_without_effect(monkeypatch):
+    text = "\t".join(f"w{i % 97} Ä{i % 13}" for i in range(5000)).encode()
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "TEXT_BLOCK", 64)
+    assert simhash.fingerprint(text) == whole == brute_print(text.decode())
+    assert simhash.fingerprint(b"two words") == brute_print("two words")
+    assert simhash.fingerprint(b" " * 500) == 0
+
+
+def test_links_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    prints = [rng.getrandbits(64) for _ in range(150)]
+    for _ in range(250):
+        x = rng.choice(prints)
+        for _ in range(rng.randrange(4)):
+            x ^= 1 << rng.randrange(64)
+        prints.append(x)
+    prints = sorted({0, 2**64 - 1, 1, 3, 7, *prints})
+    expected = brute_components(prints)
+    for block, compared in ((1 << 16, 2048), (3, 2)):  # whole tiles, and tiles split into blocks
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "COMPARED", compared)
+        fps = spark.createDataFrame([(signed(p),) for p in prints], "fp bigint").repartition(4)
+        links = [(r.u, r.v) for r in simhash.fingerprint_links(fps).collect()]
+        assert all((u ^ v).bit_count() <= 2 for u, v in ((u % 2**64, v % 2**64) for u, v in links))
+        at = {signed(p): i for i, p in enumerate(prints)}
+        label = components.local_labels(len(prints), np.array([at[u] for u, _ in links]), np.array([at[v] for _, v in links]))
+        assert label.tolist() == expected
+
+
+def test_components(spark):
+    path = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (300, 400), (7, 7), (500, 500)]
+    found = {r.node: r.root for r in components.components(spark.createDataFrame(path, "u bigint, v bigint")).collect()}
+    assert found == {**dict.fromkeys(range(41), 0), **dict.fromkeys((100, 200, 300, 400), 100)}
+    assert components.components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
+
+
+def changed(seed, at):
+    words = prose(seed, 400).split()
+    words[at] = "other"
+    return " ".join(words)
+
+
+def test_groups(docs):
+    rows = [(i, prose(i, 50)) for i in range(40)] + [(50, prose(3, 50)), (51, prose(3, 50).upper()), (52, ""), (53, None), (54, " ")]
+    rows += [(60, prose(77, 400))] + [(61 + k, changed(77, 30 * k)) for k in range(8)] + [(None, prose(3, 50)), (3, prose(3, 50))]
+    prints = [brute_print(t) for _, t in rows]
+    label = brute_components(prints)
+    least = {}
+    for (i, _), c in zip(rows, label, strict=True):
+        if i is not None:
+            least[c] = min(i, least.get(c, i))
+    found = simhash.simhash_groups(docs(rows, extra=True)).collect()
+    expected = sorted(((i, signed(p), least[c]) for (i, _), p, c in zip(rows, prints, label, strict=True)), key=repr)
+    assert sorted(((r.doc_id, r.fp, r.component_id) for r in found), key=repr) == expected
+    kept = simhash.drop_near_copies(docs(rows, extra=True))
+    assert kept.columns == docs(rows, extra=True).columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+
+
+def test_odd_rows_keep_one_of_each(odd):
+    kept = simhash.drop_near_copies(odd).collect()
+    assert len(kept) == len(set(brute_components([brute_print(r[1]) if r[0] != 7 else 0x0123456789ABCDEF for r in ODD])))
+
+
+def test_empty(none):
+    assert simhash.simhash_groups(none).collect() == [] == simhash.drop_near_copies(none).collect()
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+def test_half_of_the_steps(radius):
+    steps = simhash._half_neighbours(radius)
+    assert len({*steps, *(tuple(-x for x in s) for s in steps)}) == 2 * len(steps)

@@ -82,6 +82,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 in SQL: folded over the text's bytes, half a byte at a time, with a table of 16 made by the polynomial's rule."""
+    table = list(range(16))
+    for _ in range(4):
+        table = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    entries = "[" + ", ".join(f"{c}::BIGINT" for c in table) + "]"
+
+    def folded(crc: str, half: str) -> str:
+        return f"xor({crc} >> 4, {entries}[1 + (xor({crc}, {half}) & 15)])"
+
+    codes = f"[('0x' || b)::BIGINT FOR b IN regexp_extract_all(hex(encode({text})), '..')]"
+    whole = f"list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {folded(folded('c', 'b'), 'b >> 4')})"
+    return f"xor(4294967295::BIGINT, {whole})"
+
+
 _SHARDS = """
 leaves AS (SELECT n AS shard, n // 4 AS rack, n // 8 AS region FROM range(0, 17) t(n)),
 draws AS (
@@ -121,20 +138,9 @@ SELECT doc_id, count(*) FILTER (line != '') AS n_lines, count(*) FILTER (line !=
   sha256(coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (keep), '')) AS kept_sha256
 FROM held GROUP BY row, doc_id
 """,
-    # The CRC-32 of a text is folded over its bytes, with a table made by the polynomial's rule.
     "op4_hash_tree_sharding": f"""
-WITH RECURSIVE bits(i, k, c) AS (
-  SELECT i, 0, i::BIGINT FROM range(0, 256) t(i)
-  UNION ALL
-  SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END FROM bits WHERE k < 8),
-crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
-rows AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
-sums AS MATERIALIZED (
-  SELECT row, doc_id, strlen(text)::BIGINT + 1 AS size,
-    xor(4294967295::BIGINT, list_reduce(
-      list_prepend(4294967295::BIGINT, [('0x' || substr(h, 2 * j + 1, 2))::BIGINT FOR j IN range(0, length(h) // 2)]),
-      lambda a, b: xor(a // 256, t[1 + xor(a % 256, b)]))) AS text_crc32
-  FROM (SELECT row, doc_id, text, hex(encode(text)) AS h FROM rows), crc),
+WITH rows AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+sums AS MATERIALIZED (SELECT row, doc_id, strlen(text)::BIGINT + 1 AS size, {_crc32_sql("text")} AS text_crc32 FROM rows),
 {_SHARDS}
 SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY md5('slot:' || coalesce(doc_id::VARCHAR, '') || ':' || text_crc32), doc_id, text_crc32, size) - 1 AS slot,

@@ -20,6 +20,8 @@ SEED = 20
 SMOOTHING = 0.5
 #: Bytes that one task of the global order holds.
 BYTES_PER_BUCKET = 32 << 20
+#: The rates of up to so many sources are broadcast (at most 1.1 kB each, 11 MB); beyond, Spark joins by shuffles.
+BROADCAST_SOURCES = 10_000
 #: A Poisson number of a larger mean is a sum of several with at most this one.
 LARGEST_PART = 32.0
 
@@ -90,7 +92,7 @@ def mix_sources(
     common.require(docs, doc_id="bigint", source="string", **{text: "string"})
     rates = common.cut(with_distribution(source_rates(docs, weights, scale, text)))
     planned = rates.agg(F.sum(F.col("bytes") * F.col("rate"))).first()[0] or 0.0
-    rates = rates.select(F.col("source").alias("r_source"), "parts", "cdf")
+    rates = common.broadcast_if_small(rates.select(F.col("source").alias("r_source"), "parts", "cdf"), BROADCAST_SOURCES)
 
     def exploded(rows: DataFrame) -> DataFrame:
         joined = rows.join(rates, F.col("m_source").eqNullSafe(F.col("r_source")))

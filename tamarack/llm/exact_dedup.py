@@ -100,10 +100,11 @@ class DigestIndex:
     def impostors(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """Byte verification: the rows (digest, doc_id, whole) whose text differs from the one that stays.
 
-        Both sides hold only digests with several rows. The join is one row for each member, against one
-        text for each digest; Spark splits a hot digest's members over tasks.
+        Both sides hold only digests with several rows; while those are few, they are broadcast and no other
+        text is shuffled. The join is one row for each member, against one text for each digest; Spark splits
+        a hot digest's members over tasks.
         """
-        hits = self.merged.where("n > 1").select("digest", "keep_id")
+        hits = common.broadcast_if_small(self.merged.where("n > 1").select("digest", "keep_id"))
         members = docs.select("doc_id", normalised(text).alias("whole")).withColumn("digest", digest(F.col("whole"), self.bits))
         hit = members.join(hits, "digest")
         kept = hit.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))

@@ -45,12 +45,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over `documents`; each one's result is written to the shared folder and read by the next."""
-    docs = common.documents(spark, sf_dir)
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            path = common.scratch(spark, f"stage-{number}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    """The stages over `documents`; each one's result is written to the shared folder and read by the next.
+
+    What a stage read is removed once its own result is written.
+    """
+    docs, read = common.documents(spark, sf_dir), None
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        written = common.scratch(spark, f"stage-{number}")
+        stage(spark, docs, sf_dir).write.parquet(written)
+        if read:
+            common.remove(spark, read)
+        docs, read = spark.read.parquet(written), written
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,9 +1,11 @@
 """Near-duplicates by SimHash fingerprints of word shingles, compared exactly in tiles.
 
-A tile holds the distinct fingerprints whose four 16-bit quarters have the same population counts. Two
-fingerprints within the radius have counts that differ by the radius at most in sum, so each tile meets only
-the tiles around it and all other pairs of tiles are skipped unseen. Tile pairs are compared with numpy
-exclusive-or and bit counts. A pair of tiles gives the edges of a spanning forest, not all links.
+A tile holds the distinct fingerprints whose parts (four of 16 bits, or eight of 8) have the same population
+counts. Two fingerprints within the radius have counts that differ by the radius at most in sum, so each tile
+meets only the tiles around it and all other pairs of tiles are never formed. Within a pair, rows are sorted
+by the counts of parts half as long and cut into small tiles, and small tiles whose ranges of counts lie apart
+by more than the radius are skipped. The others are compared with numpy exclusive-or and bit counts. A pair of
+tiles gives the edges of a spanning forest, not all links.
 """
 
 from __future__ import annotations
@@ -21,13 +23,12 @@ from . import common
 from .components import components, local_labels
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
-QUARTERS, QUARTER_BITS = 4, 16
-#: Tiles: at most 17 ** 4 of them exist, whatever the input; their counts may be broadcast.
-SIDE = QUARTER_BITS + 1
+#: Parts of a fingerprint for fewer distinct ones and for more: more parts give smaller tiles with more neighbours.
+FEW_PARTS, MANY_PARTS, MANY = 4, 8, 20_000_000
 #: Fingerprints of one tile that one task holds; larger tiles are split into blocks.
 BLOCK = 1 << 16
 #: Rows and columns of one comparison.
-COMPARED = 2048
+COMPARED = 1024
 #: Bytes of a text that are split into words at a time.
 TEXT_BLOCK = 1 << 22
 
@@ -103,70 +104,108 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return common.in_python(rows, _fingerprint_batches, "doc_id bigint, key bigint, fp bigint")
 
 
-def _tile(fp: Column) -> Column:
-    """The population counts of the quarters, as the digits of one number."""
-    counts = [F.bit_count(F.shiftrightunsigned(fp, QUARTER_BITS * q).bitwiseAND((1 << QUARTER_BITS) - 1)) for q in range(QUARTERS)]
+def _tile(fp: Column, parts: int) -> Column:
+    """The population counts of the parts, as the digits of one number."""
+    bits = 64 // parts
+    counts = [F.bit_count(F.shiftrightunsigned(fp, bits * p).bitwiseAND((1 << bits) - 1)) for p in range(parts)]
     number = counts[0]
     for c in counts[1:]:
-        number = number * SIDE + c
+        number = number * (bits + 1) + c
     return number.cast("int")
 
 
-def _half_neighbours(radius: int) -> list[tuple[int, ...]]:
+def _half_neighbours(radius: int, parts: int) -> list[tuple[int, ...]]:
     """One of each pair of opposite steps between tiles whose counts differ by 1 to radius in sum."""
-    steps = itertools.product(range(-radius, radius + 1), repeat=QUARTERS)
-    return [s for s in steps if 0 < sum(map(abs, s)) <= radius and next(x for x in s if x) > 0]
 
+    def steps(left: int, dimensions: int) -> Iterator[tuple[int, ...]]:
+        if not dimensions:
+            yield ()
+            return
+        for first in range(-left, left + 1):
+            for rest in steps(left - abs(first), dimensions - 1):
+                yield (first, *rest)
 
-def _visited(tile: Column, radius: int) -> Column:
-    """The tiles, itself first, in which a fingerprint of a tile is compared."""
-    digits = [F.floor(tile / SIDE**q).cast("int") % SIDE for q in reversed(range(QUARTERS))]
+    return [s for s in steps(radius, parts) if any(s) and next(x for x in s if x) > 0]
+
+
+def _visited(tile: Column, radius: int, parts: int) -> Column:
+    """The other tiles in which a tile's fingerprints are compared."""
+    bits = 64 // parts
+    side = bits + 1
+    weights = [side**p for p in reversed(range(parts))]
+    digits = [F.floor(tile / w).cast("int") % side for w in weights]
     near = []
-    for step in _half_neighbours(radius):
+    for step in _half_neighbours(radius, parts):
         inside = F.lit(True)
         for d, s in zip(digits, step, strict=True):
             if s:
-                inside = inside & (d + s).between(0, QUARTER_BITS)
-        number = sum(s * SIDE**q for s, q in zip(step, reversed(range(QUARTERS)), strict=True))
-        near.append(F.when(inside, tile + number))
+                inside = inside & (d + s).between(0, bits)
+        near.append(F.when(inside, tile + sum(s * w for s, w in zip(step, weights, strict=True))))
     return F.filter(F.array(*near), lambda t: t.isNotNull())
 
 
-def _links(home: np.ndarray, other: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of a forest's edges between home and other (home itself if same) within the radius."""
-    us, vs = [], []
-    for i in range(0, len(home), COMPARED):
-        for j in range(i if same else 0, len(other), COMPARED):
-            a, b = home[i : i + COMPARED], other[j : j + COMPARED]
-            near = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
-            x, y = np.nonzero(near)
-            if not len(x):
+class _Sorted:
+    """Fingerprints in the order of the counts of fine parts, cut into small tiles with their ranges of counts."""
+
+    def __init__(self, fps: np.ndarray, parts: int):
+        if len(fps) > COMPARED:
+            bits = 64 // (2 * parts)
+            counts = [np.bitwise_count(fps >> np.uint64(bits * p) & np.uint64((1 << bits) - 1)) for p in range(2 * parts)]
+            order = np.lexsort(counts)
+            fps = fps[order]
+            starts = np.arange(0, len(fps), COMPARED)
+            ordered = [c[order] for c in counts]
+            self.low = np.stack([np.minimum.reduceat(c, starts) for c in ordered], axis=1).astype(np.int16)
+            self.high = np.stack([np.maximum.reduceat(c, starts) for c in ordered], axis=1).astype(np.int16)
+        else:
+            self.low = self.high = None
+        self.fps = fps
+
+    def near(self, other: _Sorted, i: int, radius: int) -> np.ndarray:
+        """Small tiles of the other that may have links with the i-th."""
+        n = -(-len(other.fps) // COMPARED)
+        if self.low is None or other.low is None:
+            return np.arange(n)
+        apart = np.maximum(np.maximum(other.low - self.high[i], self.low[i] - other.high), 0).sum(axis=1)
+        return np.nonzero(apart <= radius)[0]
+
+
+def _links(home: _Sorted, other: _Sorted, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both ends of a forest's edges between home and other (which may be home) within the radius."""
+    us, vs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for i in range(-(-len(home.fps) // COMPARED)):
+        a = home.fps[i * COMPARED : (i + 1) * COMPARED]
+        for j in home.near(other, i, radius).tolist():
+            if other is home and j < i:
                 continue
-            label = local_labels(len(a) + len(b), x, y + len(a))
-            at = np.concatenate([np.arange(i, i + len(a)), np.arange(j, j + len(b)) + (0 if same else len(home))])
-            moved = np.nonzero(label != np.arange(len(label)))[0]
-            us.append(at[moved])
-            vs.append(at[label[moved]])
-    none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
-
-
-def _compare(radius: int):
+            b = other.fps[j * COMPARED : (j + 1) * COMPARED]
+            x, y = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
+            if len(x):
+                label = local_labels(len(a) + len(b), x, y + len(a))
+                both = np.concatenate([a, b])
+                us.append(both)
+                vs.append(both[label])
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return u[u != v], v[u != v]
+
+
+def _compare(radius: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by tile, block, and home before visitors. Held: one block of home and one batch."""
-        now, home, parts, settled = None, np.zeros(0, np.uint64), [], False
-
-        def edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            nonlocal home, settled
-            if not settled:
-                home, settled = (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), True
-                u, v = _links(home, home, radius, True)
-                apart = u != v
-                if apart.any():
-                    yield edges(home[u[apart]], home[v[apart]])
+        """Rows come sorted by tile, block, and residents before guests. Held: a block's residents and one batch."""
+        now, residents, home = None, [], None
+
+        def edges(other: _Sorted | None = None) -> Iterator[pa.RecordBatch]:
+            """Links among the residents, once they are all there, or of guests with them."""
+            nonlocal home
+            if home is None:
+                home = _Sorted(np.concatenate([np.zeros(0, np.uint64), *residents]), parts)
+                yield from sent(_links(home, home, radius))
+            if other is not None:
+                yield from sent(_links(home, other, radius))
+
+        def sent(ends: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if len(ends[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)) for e in ends], ["u", "v"])
 
         for batch in batches:
             tile, block, guest = (batch.column(c).to_numpy() for c in ("tile", "block", "guest"))
@@ -175,39 +214,34 @@ def _compare(radius: int):
             for a, b in itertools.pairwise([0, *change.tolist(), len(fp)]):
                 if a == b:
                     continue
-                key = (tile[a], block[a])
-                if key != now:
-                    yield from settle()
-                    now, parts, settled = key, [], False
-                if not guest[a]:
-                    parts.append(fp[a:b])
-                    continue
-                yield from settle()
-                u, v = _links(home, fp[a:b], radius, False)
-                if len(u):
-                    both = np.concatenate([home, fp[a:b]])
-                    apart = both[u] != both[v]
-                    yield edges(both[u[apart]], both[v[apart]])
-        yield from settle()
+                if (tile[a], block[a]) != now:
+                    yield from edges()
+                    now, residents, home = (tile[a], block[a]), [], None
+                if guest[a]:
+                    yield from edges(_Sorted(fp[a:b], parts))
+                else:
+                    residents.append(fp[a:b])
+        yield from edges()
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, parts: int | None = None) -> DataFrame:
     """Edges u, v that connect the distinct fingerprints (column fp) just as all pairs within the radius do."""
-    tiled = fps.select("fp", _tile(F.col("fp")).alias("tile"))
+    parts = parts or (FEW_PARTS if fps.count() < MANY else MANY_PARTS)
+    tiled = fps.select("fp", _tile(F.col("fp"), parts).alias("tile"))
     sizes = tiled.groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.select(F.col("tile").alias("t"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    sizes = F.broadcast(common.cut(sizes))  # at most SIDE ** QUARTERS rows
+    sizes = common.broadcast_if_small(common.cut(sizes))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     home = tiled.join(sizes, F.col("tile") == F.col("t")).withColumn("own", own)
     # At home: in its own block a resident, in the blocks before that a guest. Elsewhere a guest in all blocks.
     home = home.select("tile", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("block"), "own", "fp")
     home = home.select("tile", "block", (F.col("block") != F.col("own")).cast("int").alias("guest"), "fp")
-    away = tiled.select("fp", F.explode(_visited(F.col("tile"), radius)).alias("tile")).join(sizes, F.col("tile") == F.col("t"))
+    away = tiled.select("fp", F.explode(_visited(F.col("tile"), radius, parts)).alias("tile")).join(sizes, F.col("tile") == F.col("t"))
     away = away.select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("guest"), "fp")
     dealt = home.union(away).repartition("tile", "block").sortWithinPartitions("tile", "block", "guest")
-    return common.in_python(dealt, _compare(radius), "u bigint, v bigint")
+    return common.in_python(dealt, _compare(radius, parts), "u bigint, v bigint")
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:

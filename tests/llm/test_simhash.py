@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -66,12 +67,11 @@ def test_links_equal_brute_force(spark, monkeypatch):
         prints.append(x)
     prints = sorted({0, 2**64 - 1, 1, 3, 7, *prints})
     expected = brute_components(prints)
-    for block, compared in ((1 << 16, 2048), (3, 2)):  # whole tiles, and tiles split into blocks
+    for block, compared, parts in ((1 << 16, 2048, None), (3, 2, 4), (1 << 16, 1, 2), (5, 1, 8)):  # whole tiles, and tiles split into blocks
         monkeypatch.setattr(simhash, "BLOCK", block)
         monkeypatch.setattr(simhash, "COMPARED", compared)
         fps = spark.createDataFrame([(signed(p),) for p in prints], "fp bigint").repartition(4)
-        links = [(r.u, r.v) for r in simhash.fingerprint_links(fps).collect()]
-        assert all((u ^ v).bit_count() <= 2 for u, v in ((u % 2**64, v % 2**64) for u, v in links))
+        links = [(r.u, r.v) for r in simhash.fingerprint_links(fps, parts=parts).collect()]
         at = {signed(p): i for i, p in enumerate(prints)}
         label = components.local_labels(len(prints), np.array([at[u] for u, _ in links]), np.array([at[v] for _, v in links]))
         assert label.tolist() == expected
@@ -118,5 +118,14 @@ def test_empty(none):
 
 @pytest.mark.parametrize("radius", [0, 1, 2, 3])
 def test_half_of_the_steps(radius):
-    steps = simhash._half_neighbours(radius)
-    assert len({*steps, *(tuple(-x for x in s) for s in steps)}) == 2 * len(steps)
+    steps = simhash._half_neighbours(radius, 4)
+    whole = [s for s in itertools.product(range(-radius, radius + 1), repeat=4) if 0 < sum(map(abs, s)) <= radius]
+    assert len({*steps, *(tuple(-x for x in s) for s in steps)}) == 2 * len(steps) == len(whole)
+
+
+def test_small_tiles_that_lie_apart_are_skipped(monkeypatch):
+    monkeypatch.setattr(simhash, "COMPARED", 32)
+    fps = np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64)
+    held = simhash._Sorted(fps, 4)
+    met = sum(len(held.near(held, i, 2)) for i in range(-(-3000 // 32)))
+    assert met < 0.9 * 94 * 94

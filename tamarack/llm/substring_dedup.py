@@ -96,17 +96,18 @@ def repeated_spans(docs: DataFrame, text: str = "text", least_bytes: int = LEAST
     short texts have no spans. Empty table: empty result. Other columns aren't read.
 
     A digest in a third of all documents costs one row for each place: counts and earliest documents are
-    combined before they are shuffled, and Spark splits the joins' hot keys.
+    combined before they are shuffled, and are cut, so that Spark splits the joins' hot keys.
     """
     common.require(docs, doc_id="bigint", **{text: "string"})
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
     rows = docs.select(doc.alias("doc"), common.text_or_empty(text).cast("binary").alias("whole"))
     counted = common.in_python(rows, _digest_batches(False), "digest bigint").groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    repeated = counted.where("n > 1").select("digest")
+    repeated = common.cut(counted.where("n > 1").select("digest"))
     places = common.in_python(rows, _digest_batches(True), "digest bigint, doc bigint, start bigint, size int")
     places = common.cut(places.join(repeated, "digest", "left_semi"))
     earliest = places.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    later = places.join(earliest.select("digest", "first"), "digest").where("doc > first")
+    earliest = common.cut(earliest.select("digest", "first"))
+    later = places.join(earliest, "digest").where("doc > first")
     later = later.select("doc", "start", (F.col("start") + F.col("size")).alias("end"), "first")
     return _joined_spans(later, least_bytes)
 

@@ -109,7 +109,7 @@ def candidates(firsts: DataFrame, docs: DataFrame, text: str = "text") -> DataFr
     """Lines that share a coarse key: lid, doc_id, key, line_no, slots (which keys), line."""
     slots = F.array(*[F.col(f"k{i}") for i in range(2 * PARTS)])
     keyed = firsts.select("lid", F.posexplode(slots).alias("slot", "coarse")).where("coarse IS NOT NULL")
-    shared = keyed.groupBy("coarse").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("coarse")
+    shared = common.cut(keyed.groupBy("coarse").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("coarse"))
     found = keyed.join(shared, "coarse").groupBy("lid").agg(F.collect_set("slot").alias("slots"))
     found = common.cut(firsts.select("lid", "doc_id", "key", "line_no").join(found, "lid"))
     wanted = found.select(F.col("doc_id").alias("w_id"), F.col("key").alias("w_key")).distinct()
@@ -160,8 +160,8 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines, n_kept, kept_text.
 
     A line goes if an earlier one (by doc_id, then place in the text) is equal to it, blanks at the ends
-    aside, or if it has LEAST_LENGTH characters or more and is within one edit of an earlier line of as many
-    or of one character less. Blank lines stay and don't count. Null text is empty. Null doc_ids come first.
+    aside, or within one edit of it, where both have LEAST_LENGTH characters or more; the earlier line may
+    itself have gone. Blank lines stay and don't count. Null text is empty. Null doc_ids come first.
     Rows that repeat both doc_id and text are one document and lose the same lines. Empty table: empty
     result. Other columns aren't read.
     """

@@ -108,7 +108,8 @@ class DigestIndex:
         members = docs.select("doc_id", normalised(text).alias("whole")).withColumn("digest", digest(F.col("whole"), self.bits))
         hit = members.join(hits, "digest")
         kept = hit.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        kept = kept.groupBy("digest").agg(F.min("whole").alias("kept_text"))
+        # Cut, so that the members' side of the join below is a plain shuffle, which Spark can split.
+        kept = common.cut(kept.groupBy("digest").agg(F.min("whole").alias("kept_text")))
         differ = hit.select("digest", "doc_id", "whole").join(kept, "digest").where("whole != kept_text")
         return differ.select("digest", "doc_id", "whole")
 

@@ -66,6 +66,13 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def shares(counts: np.ndarray) -> np.ndarray:
+    """Rows of counts as parts of one."""
+    x = counts.astype(np.float32)
+    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
+    return x
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -76,8 +83,7 @@ class Model:
     least_score: float = 0.0
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
-        x = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
-        return (x.astype(np.float32) @ self.table) @ self.weights + self.bias
+        return (shares(counts) @ self.table) @ self.weights + self.bias
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         z = self.logits(counts).astype(np.float64) / self.temperature
@@ -97,7 +103,7 @@ def train(counts: np.ndarray, labels: Sequence[str], seed: int = 0) -> Model:
     rest = np.arange(len(y)) % CALIBRATION_PART == 0
     if len(y) < 4 * CALIBRATION_PART:
         rest[:] = False
-    x = (counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+    x = shares(counts)
     fit = np.nonzero(~rest)[0]
     epochs = -(-STEPS * BATCH // len(fit))
     for epoch in range(epochs):
@@ -166,9 +172,11 @@ def sampled(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[
     rows = common.in_python(drawn, _count_batches, "lang string, draw double, at binary, n binary").limit(2 * sample).collect()
     rows.sort(key=lambda r: (r["draw"], r["lang"], r["at"], r["n"]))
     counts = np.zeros((len(rows), BUCKETS), np.int32)
+    labels = [r["lang"] for r in rows]
     for i, r in enumerate(rows):
         counts[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<i4")
-    return counts, [r["lang"] for r in rows]
+        rows[i] = None
+    return counts, labels
 
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:

@@ -2,11 +2,19 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from tamarack.llm import common, langid
 
 from .conftest import ODD
 
+
+
+@pytest.fixture(autouse=True)
+def fewer_steps(monkeypatch):
+    monkeypatch.setattr(langid, "STEPS", 1000)
+
+
 SYLLABLES = {"en": "the th ing and er of", "de": "sch ung der ein ich ß", "fr": "eau que le é oi ent"}
 
 
@@ -80,7 +88,8 @@ def test_the_sample_is_bounded_and_even(docs):
     assert len(labels) <= 120 and 10 < labels.count("fr") < 50 and counts.shape == (len(labels), langid.BUCKETS)
 
 
-def test_all_of_a_real_table_but_its_hard_cases(spark):
+def test_all_of_a_real_table_but_its_hard_cases(spark, monkeypatch):
+    monkeypatch.setattr(langid, "STEPS", 4000)
     df = common.documents(spark, "/root/testdata/sf0.001")
     truth = {r.doc_id: r.lang for r in df.collect()}
     found = langid.identify(df, langid.fit(df)).collect()

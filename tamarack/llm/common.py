@@ -98,33 +98,48 @@ def hash_unit(*parts: Column) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def gapless_rank(
-    rows: DataFrame, groups: Sequence[str], order: Sequence[Column], bucket: Column, name: str, counted: DataFrame | None = None
-) -> DataFrame:
-    """Adds `name`: 0, 1, 2 ... within each group, by bucket and then by order.
-
-    No group meets in one task. Rows are dealt by (group, bucket); the small table of counts for each
-    (group, bucket) gives every bucket its first number. `bucket` must rise with the wanted order and be
-    fine enough for one bucket to fit in a task; groups must not be null. `counted` may hold the same
-    groups and bucket column `__b`, to be counted without dragging wide rows along.
+#: Buckets' counts are summed in two steps if they have more hex digits than this.
+COARSE_DIGITS = 3
+
+
+def bucket_digits(total: int, each: int) -> int:
+    """So many hex digits that `total` splits into parts of about `each`, by the first digits of a uniform key."""
+    return max(1, math.ceil(math.log(max(1.0, total / each), 16)))
+
+
+def _sum_before(counts: DataFrame, groups: Sequence[str], bucket: str, name: str) -> DataFrame:
+    before = Window.partitionBy(*groups or [F.lit(0)]).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn(name, F.coalesce(F.sum("__n").over(before), F.lit(0)))
+
+
+def _first_ranks(counts: DataFrame, groups: Sequence[str], digits: int) -> DataFrame:
+    """Adds __first: the number of a group's rows in buckets before. No task gets more than a part of the counts."""
+    if digits <= COARSE_DIGITS:
+        return _sum_before(counts, groups, "__b", "__first").drop("__n")
+    coarse = F.substring("__b", 1, COARSE_DIGITS)
+    fine = _sum_before(counts.withColumn("__c", coarse), [*groups, "__c"], "__b", "__within").drop("__n")
+    sums = counts.groupBy(*groups, coarse.alias("__c")).agg(F.sum("__n").alias("__n"))
+    sums = _sum_before(sums, groups, "__c", "__before").drop("__n")
+    return fine.join(sums, [*groups, "__c"]).withColumn("__first", F.col("__before") + F.col("__within")).drop("__c", "__before", "__within")
+
+
+def gapless_rank(rows: DataFrame, groups: Sequence[str], order: Sequence[Column], key: str, digits: int, name: str, counted: DataFrame | None = None) -> DataFrame:
+    """Adds `name`: 0, 1, 2 ... within each group, by the hex column `key`, which is uniform, and then by order.
+
+    No group meets in one task. Rows are dealt by group and the key's first digits, their bucket; the small
+    table of counts for each group and bucket gives every bucket its first number. Groups must not be null.
+    `counted` may hold the same groups and keys, to be counted without dragging wide rows along.
     """
+    bucket = F.substring(key, 1, digits)
     rows = rows.withColumn("__b", bucket)
     keys = [*groups, "__b"]
-    counts = (rows if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*groups or [F.lit(0)]).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    ranked = rows.join(firsts, keys).withColumn(
-        name, F.col("__first") + F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    narrow = (rows if counted is None else counted.withColumn("__b", bucket)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = rows.join(_first_ranks(narrow, groups, digits), keys).withColumn(
+        name, F.col("__first") + F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(key), *order)) - 1
     )
     return ranked.drop("__b", "__first")
 
 
-def hex_bucket(key: str, total: int, each: int) -> Column:
-    """The first hex digits of a uniform hex key, so many that `total` splits into parts of about `each`."""
-    digits = max(1, math.ceil(math.log(max(1.0, total / each), 16)))
-    return F.substring(key, 1, digits)
-
-
 def sliced(batch, size_of, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Splits 0..len(batch) into runs of which each holds `limit` bytes or one row."""
     start, held = 0, 0
@@ -151,9 +166,9 @@ def unpacked(df: DataFrame, row: str, schema: T.StructType) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a cut table for broadcast if it was counted to be small; else Spark joins by shuffles."""
-    return F.broadcast(df) if df.count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Marks a cut table for broadcast if it has so few rows (BROADCAST_ROWS); else Spark joins by shuffles."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
 
 
 def _keyed(docs: DataFrame, key: Column) -> DataFrame:

@@ -102,11 +102,11 @@ def mix_sources(
         return copies.withColumn("m_at", at).drop("m_n")
 
     names = [F.col("doc_id").alias("m_id"), F.col("source").cast("string").alias("m_source")]
-    bucket = common.hex_bucket("m_at", math.ceil(planned), BYTES_PER_BUCKET)
-    thin = exploded(docs.select(*names)).withColumn("__b", bucket)
+    digits = common.bucket_digits(math.ceil(planned), BYTES_PER_BUCKET)
+    thin = exploded(docs.select(*names))
     wide = exploded(docs.select(common.packed(docs).alias("row"), *names))
-    order = [F.col("m_at"), F.col("m_id"), F.col("m_copy"), F.crc32(common.text_or_empty(f"row.{text}"))]
-    ranked = common.gapless_rank(wide, [], order, bucket, "m_position", thin)
+    order = [F.col("m_id"), F.col("m_copy"), F.crc32(common.text_or_empty(f"row.{text}"))]
+    ranked = common.gapless_rank(wide, [], order, "m_at", digits, "m_position", thin)
     if not numbered:
         return common.unpacked(ranked, "row", docs.schema)
     kept = [f for f in docs.columns if f not in ("copy", "position")]

@@ -223,8 +223,7 @@ def pack_documents(docs: DataFrame, text: str = "text", path: str | None = None,
     plan = Plan.best(counts, capacity)
     at = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "piece", "ids_crc32"))
     keyed = cutup.withColumn("at", at)
-    order = [F.col("at"), F.col("doc_id"), F.col("piece")]
-    bucket = common.hex_bucket("at", sum(counts.values()), PIECES_PER_BUCKET)
-    ranked = common.gapless_rank(keyed, ["length"], order, bucket, "rank")
+    digits = common.bucket_digits(sum(counts.values()), PIECES_PER_BUCKET)
+    ranked = common.gapless_rank(keyed, ["length"], [F.col("doc_id"), F.col("piece")], "at", digits, "rank")
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("bigint").alias("rank"))
     return common.in_python(ranked, _placer(plan.arrays()), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

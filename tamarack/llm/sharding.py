@@ -79,6 +79,6 @@ def shard_documents(docs: DataFrame, shards: int = 16, weights: Sequence[float]
     )
     rows = common.cut(rows)
     total = rows.count()
-    order = [F.col("at"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    ranked = common.gapless_rank(rows, ["shard"], order, common.hex_bucket("at", total, shards * ROWS_PER_BUCKET), "slot")
+    order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
+    ranked = common.gapless_rank(rows, ["shard"], order, "at", common.bucket_digits(total, shards * ROWS_PER_BUCKET), "slot")
     return ranked.drop("at").withColumn("slot", F.col("slot").cast("bigint"))

@@ -33,8 +33,10 @@ def result(df):
 
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
 @pytest.mark.parametrize("bits", [256, 4])
-def test_odd_rows_and_colliding_digests(odd, keep, bits):
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_odd_rows_and_colliding_digests(odd, keep, bits, broadcast, monkeypatch):
     """With four bits digests of other texts are equal, and only the verification tells them apart."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     assert result(exact_dedup.exact_groups(odd, keep=keep, bits=bits)) == brute(ODD, max if keep == "largest" else min)
 
 
@@ -43,7 +45,9 @@ def test_empty(none):
     assert exact_dedup.drop_exact_copies(none).collect() == []
 
 
-def test_kept_rows_have_all_columns(odd):
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_kept_rows_have_all_columns(odd, broadcast, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     kept = exact_dedup.drop_exact_copies(odd)
     assert kept.columns == odd.columns
     texts = sorted(lowered(r.text) for r in kept.collect())

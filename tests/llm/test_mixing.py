@@ -2,7 +2,9 @@ import hashlib
 import math
 from collections import Counter
 
-from tamarack.llm import mixing
+import pytest
+
+from tamarack.llm import common, mixing
 
 from .conftest import ODD, prose
 
@@ -55,8 +57,11 @@ def test_empty(none):
     assert mixing.mix_sources(none).columns == [*none.columns, "copy", "position"]
 
 
-def test_weights_scale_and_large_rates(docs, monkeypatch):
-    monkeypatch.setattr(mixing, "BYTES_PER_BUCKET", 300)
+@pytest.mark.parametrize("coarse", [1, 3])
+def test_weights_scale_and_large_rates(docs, monkeypatch, coarse):
+    monkeypatch.setattr(mixing, "BYTES_PER_BUCKET", 30)
+    monkeypatch.setattr(common, "COARSE_DIGITS", coarse)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0 if coarse == 1 else 100)
     rows = [(i, prose(i, 4), f"s{i % 3}") for i in range(40)] + [(1000, "x", "tiny")]
     df = docs([(a, b, "en", c) for a, b, c in rows])
     weights = {"s0": 2.0, "s1": 1.0, "tiny": 1.0}

@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from tamarack.llm import sharding
+from tamarack.llm import common, sharding
 
 from .conftest import ODD, prose
 
@@ -25,8 +25,10 @@ def test_empty(none):
     assert sharding.shard_documents(none, 16).collect() == []
 
 
-def test_slots_are_gapless_also_over_many_buckets(spark, docs, monkeypatch):
+@pytest.mark.parametrize("coarse", [1, 3])
+def test_slots_are_gapless_also_over_many_buckets(spark, docs, monkeypatch, coarse):
     monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 2)
+    monkeypatch.setattr(common, "COARSE_DIGITS", coarse)
     rows = sharding.shard_documents(docs([(i, prose(i % 50, 5)) for i in range(400)] * 2), 5).collect()
     slots = defaultdict(list)
     for r in rows:

@@ -1,7 +1,7 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash over the last 16 bytes decides where chunks end, so chunks follow the content: bytes put in or
-taken out change the chunks they touch and no others. A chunk's digest covers it and the two chunks after
+taken out change the chunks around them and no others. A chunk's digest covers it and the two chunks after
 it, about 66 bytes. Digests found in more than one document are joined back to their places; the earliest
 document keeps its bytes, and elsewhere touching places are joined to spans. Spans of LEAST_BYTES go.
 """
@@ -18,8 +18,9 @@ from pyspark.sql.window import Window
 
 from . import common, rolling
 
-#: A chunk ends where the gear hash is below LIMIT of 65,536, at least LEAST_CHUNK bytes after the last end.
-LIMIT, LEAST_CHUNK, GEAR_BYTES = 4096, 8, 16
+#: A chunk ends where the gear hash is below LIMIT of 65,536, at least LEAST_CHUNK bytes after the last end, or
+#: after MOST_CHUNK bytes. That is a prime, so that the chunks of a repeated word come to begin at each of its bytes.
+LIMIT, LEAST_CHUNK, MOST_CHUNK = 4096, 8, 61
 #: Chunks that a digest covers.
 COVERED = 3
 #: Shorter spans stay: common phrases, stock lines. A passage of 50 words has about 300 bytes.
@@ -41,7 +42,10 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 def chunk_ends(data: np.ndarray) -> list[int]:
     """Ends of a text's chunks; the last is its length."""
     ends, last = [], 0
-    for end in (np.nonzero(gear_hashes(data) < LIMIT)[0] + 1).tolist():
+    for end in [*(np.nonzero(gear_hashes(data) < LIMIT)[0] + 1).tolist(), len(data)]:
+        while end - last > MOST_CHUNK:
+            last += MOST_CHUNK
+            ends.append(last)
         if end - last >= LEAST_CHUNK:
             ends.append(end)
             last = end

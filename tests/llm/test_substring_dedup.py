@@ -80,6 +80,13 @@ def test_a_passage_in_a_third_of_all_documents(docs):
     assert spans == brute(rows) and len(spans) == 79 and {s[3] for s in spans} == {0}
 
 
+def test_a_repeated_word(docs):
+    """Without a content-defined end chunks have their greatest length, which meets every offset of the word."""
+    rows = [(1, "the " * 60), (2, "the " * 55), (3, prose(3, 40) + " " + "the " * 150), (4, "and " * 51)]
+    spans = got(docs(rows))
+    assert spans == brute(rows) and {s[0] for s in spans} == {2, 3}
+
+
 def test_odd_rows(odd, docs):
     rows = [(r[0], r[1]) for r in ODD]
     assert got(odd) == brute(rows)

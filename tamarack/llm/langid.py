@@ -187,13 +187,16 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
 def _predictor(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             langs: list[str] = []
             scores: list[float] = []
-            for i in range(0, len(texts), 256):
-                part = texts[i : i + 256]
+            for i in range(0, len(texts), 64):
+                part = texts.slice(i, 64).to_pylist()
                 known = [has_letter(t) and bool(model.languages) for t in part]
-                counts = np.array([subword_counts(t) if k else np.zeros(BUCKETS, np.int64) for t, k in zip(part, known, strict=True)])
+                counts = np.zeros((len(part), BUCKETS), np.float32)
+                for row, (t, k) in enumerate(zip(part, known, strict=True)):
+                    if k:
+                        counts[row] = subword_counts(t)
                 if not model.languages:
                     s = np.zeros((len(part), 1))
                 else:

@@ -78,14 +78,14 @@ def cut_points(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def _piece_batches(path: str | None, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[str, list[tuple[int, int, int, int]]] = {}
+            known: dict[bytes, list[tuple[int, int, int, int]]] = {}
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text = text.as_py()
-                if (found := known.get(text)) is None:
+                if (found := known.get(seen := common.mark(text.encode()))) is None:
                     ids = np.array(token_ids(text, path), dtype="<u4")
                     found = [(i, s, n, zlib.crc32(ids[s : s + n].tobytes())) for i, (s, n) in enumerate(cut_points(len(ids), capacity))]
-                    known[text] = found
+                    known[seen] = found
                 rows += [(doc_id, *x) for x in found]
             if rows:
                 columns = list(zip(*rows, strict=True))

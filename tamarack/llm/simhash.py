@@ -85,8 +85,8 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         out = []
         for text in batch.column("whole"):
             text = text.as_py()
-            if (fp := known.get(text)) is None:
-                fp = known[text] = fingerprint(text)
+            if (fp := known.get(seen := common.mark(text))) is None:
+                fp = known[seen] = fingerprint(text)
             out.append(fp)
         fps = pa.array(np.array(out, dtype=np.uint64).view(np.int64), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), fps], ["doc_id", "key", "fp"])

@@ -18,7 +18,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of all documents that an earlier document has too."""
-    return substring_dedup.repeated_spans(common.documents(spark, sf_dir))
+    return substring_dedup.shared_spans(common.documents(spark, sf_dir))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,10 @@ A gear hash over the last 16 bytes decides where chunks end, so chunks follow th
 taken out change the chunks around them and no others. A chunk's digest covers it and the two chunks after
 it, about 66 bytes. Digests found in more than one document are joined back to their places; the earliest
 document keeps its bytes, and elsewhere touching places are joined to spans. Spans of LEAST_BYTES go.
+
+Chunks lose the ends of a passage, and short passages with them. `shared_spans`, the query, loses neither: of
+any REACH successive windows of SEED bytes the one with the least hash is a seed, so texts that share SEED +
+REACH - 1 bytes share a seed, and runs of shared seeds are extended byte by byte against the earlier document.
 """
 
 from __future__ import annotations
@@ -27,6 +31,12 @@ COVERED = 3
 LEAST_BYTES = 160
 #: Stands for a null doc_id; below all others.
 NO_ID = -(2**63)
+#: Bytes of a seed, and windows of which one is a seed; REACH is a power of two and at most SEED, so that the seeds
+#: of a passage touch. Any 127 bytes that are shared have a shared seed; the ends are less than REACH bytes away.
+SEED, REACH = 64, 64
+#: Windows hashed at once.
+SEGMENT = 1 << 20
+LEFT, RIGHT = 0, 1
 
 _GEAR = (rolling.mixed(np.arange(256, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
@@ -64,7 +74,37 @@ def digests(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rolling.part_hashes(rolling.prefix_sums(data), a, b), a, b
 
 
-def _digest_batches(places: bool):
+def _sliding(best: np.ufunc, values: np.ndarray) -> np.ndarray:
+    """The least or greatest of each REACH successive values, by doubling."""
+    n = 1
+    while n < REACH:
+        values = best(values[:-n], values[n:])
+        n *= 2
+    return values
+
+
+def seeds(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each seed; equal seeds that overlap, as in a repeated word, are one."""
+    data = np.frombuffer(text, np.uint8)
+    n = len(data) - SEED + 1
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for at in range(0, n if n >= REACH else 0, SEGMENT):
+        low, high = max(0, at - REACH + 1), min(n, at + SEGMENT + REACH - 1)
+        sums = rolling.prefix_sums(data[low : high + SEED - 1])
+        places = np.arange(high - low)
+        h = rolling.part_hashes(sums, places, places + SEED)
+        chosen = np.nonzero(h == _sliding(np.maximum, np.pad(_sliding(np.minimum, h), REACH - 1)))[0]
+        chosen = chosen[(chosen + low >= at) & (chosen + low < at + SEGMENT)]
+        hashes.append(h[chosen])
+        starts.append(chosen + low)
+    found, a = np.concatenate(hashes), np.concatenate(starts)
+    new = np.ones(len(a), bool)
+    new[1:] = (found[1:] != found[:-1]) | (np.diff(a) > SEED)
+    last = np.append(new[1:], True)[: len(a)]
+    return found[new], a[new], a[last] + SEED
+
+
+def _digest_batches(places: bool, digests=digests):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["digest", "doc", "start", "size"] if places else ["digest"]
         for batch in batches:
@@ -116,18 +156,100 @@ def repeated_spans(docs: DataFrame, text: str = "text", least_bytes: int = LEAST
     return _joined_spans(later, least_bytes)
 
 
-def _joined_spans(places: DataFrame, least_bytes: int) -> DataFrame:
-    """Places of one document that touch or overlap become one span; a group is one document's chunks."""
+def _numbered(places: DataFrame) -> DataFrame:
+    """Adds span, the number of the run of touching or overlapping places within a document."""
     in_order = Window.partitionBy("doc").orderBy("start", "end")
     before = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     begins = F.when(before >= F.col("start"), 0).otherwise(1)
-    numbered = places.withColumn("begins", begins).withColumn("span", F.sum("begins").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = numbered.groupBy("doc", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"))
+    return places.withColumn("begins", begins).withColumn("span", F.sum("begins").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _joined_spans(places: DataFrame, least_bytes: int) -> DataFrame:
+    """Places of one document that touch or overlap become one span; a group is one document's chunks."""
+    spans = _numbered(places).groupBy("doc", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"))
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     long = spans.where(F.col("end") - F.col("start") >= least_bytes)
     return long.select(known("doc").alias("doc_id"), "start", "end", known("first").alias("first_doc_id"))
 
 
+def _around_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes around each place asked for: its seed and up to REACH - 1 bytes before it or after it."""
+    for batch in batches:
+        rows = []
+        for doc, data, asked in zip(batch.column("doc").to_pylist(), batch.column("whole"), batch.column("asked").to_pylist(), strict=True):
+            data = data.as_py()
+            for place in asked:
+                side, at = place["side"], place["at"]
+                before, after = (REACH - 1, SEED) if side == LEFT else (SEED, REACH - 1)
+                rows.append((doc, side, at, data[max(0, at - before) : at], data[at : at + after]))
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        for i in range(0, len(rows), 1 << 15):
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows[i : i + (1 << 15)], strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "side", "at", "before", "after"])
+
+
+def _same_bytes(one: bytes, other: bytes) -> int:
+    """How many bytes both begin with."""
+    n = min(len(one), len(other))
+    if one[:n] == other[:n]:
+        return n
+    return next(i for i in range(n) if one[i] != other[i])
+
+
+def _more_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How far each end's bytes go on like the earlier document's; nothing where the seeds only share a hash."""
+    for batch in batches:
+        more = []
+        for side, before, after, f_before, f_after in zip(*(batch.column(c).to_pylist() for c in ("side", "before", "after", "f_before", "f_after")), strict=True):
+            if side == LEFT:
+                more.append(_same_bytes(before[::-1], f_before[::-1]) if after == f_after else 0)
+            else:
+                more.append(_same_bytes(after, f_after) if before == f_before else 0)
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("span"), batch.column("side"), pa.array(more, pa.int32())], ["doc", "span", "side", "more"])
+
+
+def shared_spans(docs: DataFrame, text: str = "text", least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """doc_id, start, end, first_doc_id as of `repeated_spans`, but from seeds, and with their true ends.
+
+    A run of touching seeds is extended at each end as far as its bytes are those of the earliest document with
+    the seed there; least_bytes holds for what that gives. So every passage of that many bytes (127 or more) is
+    found. An end falls short (by less than REACH bytes) only where a still earlier document, or an earlier
+    place of that document, has the last seed but goes on differently.
+    """
+    common.require(docs, doc_id="bigint", **{text: "string"})
+    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    rows = docs.select(doc.alias("doc"), common.text_or_empty(text).cast("binary").alias("whole"))
+    counted = common.in_python(rows, _digest_batches(False, seeds), "digest bigint").groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    repeated = common.cut(counted.where("n > 1").select("digest"))
+    places = common.in_python(rows, _digest_batches(True, seeds), "digest bigint, doc bigint, start bigint, size int")
+    places = common.cut(places.join(repeated, "digest", "left_semi"))
+    earliest = places.groupBy("digest").agg(F.min(F.struct("doc", "start", "size")).alias("f"), F.max("doc").alias("last")).where("f.doc < last")
+    earliest = common.cut(earliest.select("digest", F.col("f.doc").alias("first"), F.col("f.start").alias("f_start"), F.expr("f.start + f.size").alias("f_end")))
+    later = places.join(earliest, "digest").where("doc > first")
+    later = later.select("doc", "start", (F.col("start") + F.col("size")).alias("end"), "first", "f_start", "f_end")
+    runs = _numbered(later).groupBy("doc", "span").agg(
+        F.min("first").alias("first"),
+        F.min(F.struct(F.col("start").alias("at"), "first", F.col("f_start").alias("f_at"))).alias("left"),
+        F.max(F.struct(F.col("end").alias("at"), "first", F.col("f_end").alias("f_at"))).alias("right"),
+    )
+    runs = common.cut(runs)
+    side = lambda n, c: runs.select("doc", "span", F.lit(n).alias("side"), f"{c}.at", F.col(f"{c}.first").alias("f_doc"), f"{c}.f_at")
+    ends = side(LEFT, "left").unionByName(side(RIGHT, "right"))
+    asked = ends.select("doc", "side", "at").unionByName(ends.select(F.col("f_doc").alias("doc"), "side", F.col("f_at").alias("at")))
+    asked = asked.groupBy("doc").agg(F.collect_set(F.struct("side", "at")).alias("asked"))
+    around = common.in_python(rows.join(asked, "doc").select("doc", "whole", "asked"), _around_batches, "doc bigint, side int, at bigint, before binary, after binary")
+    around = common.cut(around)
+    theirs = around.select(*[F.col(c).alias(n) for c, n in (("doc", "f_doc"), ("side", "side"), ("at", "f_at"), ("before", "f_before"), ("after", "f_after"))])
+    both = ends.join(around, ["doc", "side", "at"]).join(theirs, ["f_doc", "side", "f_at"])
+    more = common.in_python(both.select("doc", "span", "side", "before", "after", "f_before", "f_after"), _more_batches, "doc bigint, span bigint, side int, more int")
+    of = lambda n: F.coalesce(F.max(F.when(F.col("side") == n, F.col("more"))), F.lit(0))
+    more = more.groupBy("doc", "span").agg(of(LEFT).alias("more_left"), of(RIGHT).alias("more_right"))
+    whole = runs.join(more, ["doc", "span"]).select(
+        "doc", (F.col("left.at") - F.col("more_left")).alias("start"), (F.col("right.at") + F.col("more_right")).alias("end"), "first"
+    )
+    return _joined_spans(whole, least_bytes)
+
+
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []

@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 
+from tamarack.llm import rolling
 from tamarack.llm import substring_dedup as D
+from tamarack.llm.queries import QUERIES
 
 from .conftest import ODD, prose
 
@@ -108,3 +110,49 @@ def test_cutting(docs):
     kept = {r.doc_id: r.kept_text for r in D.cut_spans(df, D.repeated_spans(df)).collect()}
     assert kept[1] == prose(1, 20) + both and kept[3] == ""
     assert kept[2].startswith(prose(2, 20)) and kept[2].endswith(prose(9, 20)) and len(kept[2]) < len(prose(2, 20) + prose(9, 20)) + 130
+
+
+SHORT = "the of and to in is it you that he was for on are with as his they be at one have this from or had by hot but some".split()
+
+
+def test_the_query_finds_short_passages_with_their_true_ends(docs, tmp_path):
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choice(SHORT) for _ in range(n))
+    planted, rows = {}, []
+    while len(planted) < 150:
+        passage, i = words(51), 2 * len(planted)
+        if len(passage) < D.LEAST_BYTES:
+            continue
+        before = [words(20) + x for x in "éx"]
+        rows += [(i, before[0] + passage + "Y" + words(20)), (i + 1, before[1] + passage + "Z" + words(20))]
+        planted[i + 1] = (len(before[1].encode()), len((before[1] + passage).encode()), i)
+    docs(rows).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["op2_substring_dedup"](docs([]).sparkSession, str(tmp_path)).collect()
+    assert {r.doc_id: (r.start, r.end, r.first_doc_id) for r in found} == planted
+
+
+def test_seeds_are_those_of_the_definition(monkeypatch):
+    rng = random.Random(5)
+    text = bytes(rng.randrange(256) for _ in range(900)) + b"ab" * 150 + b"c" * 100 + bytes(rng.randrange(256) for _ in range(300))
+    places = np.arange(len(text) - D.SEED + 1)
+    h = rolling.part_hashes(rolling.prefix_sums(np.frombuffer(text, np.uint8)), places, places + D.SEED).tolist()
+    covered = set()
+    for i in range(len(h) - D.REACH + 1):
+        least = min(h[i : i + D.REACH])
+        covered |= {b for j in range(i, i + D.REACH) if h[j] == least for b in range(j, j + D.SEED)}
+    for segment in (1 << 20, 100):
+        monkeypatch.setattr(D, "SEGMENT", segment)
+        found, a, b = D.seeds(text)
+        assert {x for s, e in zip(a.tolist(), b.tolist(), strict=True) for x in range(s, e)} == covered
+        assert [h[i] for i in a.tolist()] == found.tolist()
+    assert len(D.seeds(text[:126])[0]) == 0 < len(D.seeds(text[:127])[0])
+
+
+def test_shared_spans_of_odd_rows(odd, docs):
+    spans = sorted((tuple(r) for r in D.shared_spans(odd).collect()), key=repr)
+    assert spans == []
+    twice = [(1, passage(1, 300)), (1, passage(1, 300)), (None, passage(2, 300)), (None, "x"), (2, "x" + passage(2, 300)), (3, "é" * 400), (4, "é" * 300)]
+    n = len(passage(2, 300))
+    assert sorted(tuple(r) for r in D.shared_spans(docs(twice)).collect()) == [(2, 1, n + 1, None), (4, 0, 600, 3)]
+    assert D.shared_spans(docs([])).collect() == []
+    assert D.shared_spans(docs([(1, passage() + " x " + passage()), (2, prose(3, 80))])).collect() == []

@@ -2,7 +2,8 @@
 
 Candidates for entropy are long runs of key characters. A window slides over a candidate; its character
 counts, and with them its entropy, are updated by the character that enters and the one that leaves. What is
-high depends on the candidate's character class. An allow-list suppresses what is known not to be a secret.
+high depends on the character class, of the candidate and of each of its parts between signs, so that sig= or
+sk- before a key doesn't change the key's class. An allow-list suppresses what is known not to be a secret.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 
 WINDOW = 20
 #: Bits a character that a window of a class must reach; log2(20) = 4.32 is the most.
-THRESHOLDS = {"hex": 3.2, "alphanumeric": 3.75, "base64": 3.85}
+THRESHOLDS = {"hex": 3.2, "one case": 3.4, "alphanumeric": 3.75, "base64": 3.85}
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}")
 _HEX_CLASS = re.compile(r"[0-9a-fA-F]+")
+_ONE_CASE_CLASS = re.compile(r"[a-z0-9]+|[A-Z0-9]+")
 _ALPHANUMERIC_CLASS = re.compile(r"[A-Za-z0-9]+")
+_PART = re.compile(rf"[A-Za-z0-9]{{{WINDOW},}}")
 
-#: Never secrets, matched against the whole candidate: UUIDs, plain numbers and dates, words joined by signs,
+#: Never secrets, matched against the whole candidate or part: UUIDs, plain numbers and dates, words joined by signs,
 #: paths of words, and rules of one or two signs.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
@@ -70,6 +73,8 @@ class Scanner:
         """Joined windows whose entropy reaches the class's threshold."""
         if _HEX_CLASS.fullmatch(candidate):
             kind = "hex"
+        elif _ONE_CASE_CLASS.fullmatch(candidate):
+            kind = "one case"
         else:
             kind = "alphanumeric" if _ALPHANUMERIC_CLASS.fullmatch(candidate) else "base64"
         # entropy = log2(WINDOW) - sum(n log2 n) / WINDOW
@@ -105,10 +110,23 @@ class Scanner:
         found = []
         for m in _CANDIDATE.finditer(text):
             if not self.suppressed(m[0]):
-                found += [Span("entropy", m.start() + a, m.start() + b) for a, b in self.high_parts(m[0])]
+                parts = [p for p in _PART.finditer(m[0]) if p[0] != m[0] and not self.suppressed(p[0])]
+                high = [*self.high_parts(m[0]), *((p.start() + a, p.start() + b) for p in parts for a, b in self.high_parts(p[0]))]
+                found += [Span("entropy", m.start() + a, m.start() + b) for a, b in joined(high)]
         return found
 
 
+def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that overlap or touch become one."""
+    whole: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if whole and a <= whole[-1][1]:
+            whole[-1] = (whole[-1][0], max(b, whole[-1][1]))
+        else:
+            whole.append((a, b))
+    return whole
+
+
 def ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 

@@ -78,6 +78,20 @@ def test_entropy_finds_keys_and_leaves_words_alone():
         assert SCAN.entropy(text) == [], text
 
 
+@pytest.mark.parametrize("before", ["", "sig=", "key_", "sk-", "a/b+"])
+@pytest.mark.parametrize("letters, size", [("0123456789ABCDEF", 32), (string.ascii_lowercase + string.digits, 20)])
+def test_signs_before_a_key_leave_its_class(before, letters, size):
+    rng = random.Random(before + letters)
+    keys = ["".join(rng.choices(letters, k=size)) for _ in range(300)]
+    found = [bool(SCAN.entropy(f"x {before}{key} y")) for key in keys]
+    assert sum(found) >= 0.95 * len(keys)
+
+
+def test_a_part_and_its_candidate_give_one_span():
+    key = "".join(random.Random(8).sample(string.ascii_letters + string.digits, 40))
+    assert [str(s) for s in SCAN.entropy(f"k {key}+/{key[::-1]}")] == ["entropy:2:84"]
+
+
 def test_odd_rows(odd):
     found = S.scan_secrets(odd).collect()
     assert len(found) == len(ODD)

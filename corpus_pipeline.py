@@ -24,7 +24,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and drops documents so that sources' bytes follow the square root of what they have, in random order."""
-    return mixing.mix_sources(docs, numbered=False)
+    return mixing.mix_sources(docs, numbered=False, by_text=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

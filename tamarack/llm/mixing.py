@@ -2,13 +2,13 @@
 
 Each source has a mean repetition rate: its target share of the bytes over its present share. A document's
 number of copies is a Poisson number with that mean, got by inverting the distribution at a uniform number
-hashed from its identifier. Copies are exploded and put in one global random order.
+hashed from its identifier, or from that and a digest of its text. Copies are exploded and put in one global random order.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,9 +63,9 @@ def with_distribution(rates: DataFrame) -> DataFrame:
     return rates.withColumn("cdf", F.aggregate(steps, start, step, lambda acc: acc["cdf"])).drop("mean")
 
 
-def _copies(doc_id: Column, parts: Column, cdf: Column, seed: int) -> Column:
+def _copies(key: Sequence[Column], parts: Column, cdf: Column, seed: int) -> Column:
     def one(part: Column) -> Column:
-        u = common.hash_unit(F.lit(f"copies-{seed}"), doc_id, part)
+        u = common.hash_unit(F.lit(f"copies-{seed}"), *key, part)
         return F.size(F.filter(cdf, lambda chance: chance < u))
 
     return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, part: n + one(part))
@@ -78,15 +78,18 @@ def mix_sources(
     text: str = "text",
     seed: int = SEED,
     numbered: bool = True,
+    by_text: bool = False,
 ) -> DataFrame:
     """The mixture: all columns of docs for each copy, then copy (from 1) and position (0, 1, 2 ... overall).
 
     Rows come out in the order of position within each partition, and partitions hold random parts of it.
     Without `numbered` the columns are those of docs alone.
 
-    The same doc_id always gets the same number of copies at the same rate, which may be 0. Repeated rows
-    and null doc_ids are documents like others; a null source is a source of its own. position orders by an
-    MD5 of seed, doc_id and copy, then by doc_id, copy and text checksum. Empty table: empty result. Numbered,
+    The same doc_id always gets the same number of copies at the same rate, which may be 0: rows that share a
+    doc_id, as all with a null one, stay or go together. With `by_text` the number is drawn from doc_id and a
+    digest of the text, so that different texts draw independently. A null source is a source of its own.
+    position orders by an MD5 of seed, doc_id (with `by_text` the digest too) and copy, then by doc_id, copy
+    and text checksum. Empty table: empty result. Numbered,
     columns named copy or position in docs are replaced.
     """
     common.require(docs, doc_id="bigint", source="string", **{text: "string"})
@@ -96,12 +99,16 @@ def mix_sources(
 
     def exploded(rows: DataFrame) -> DataFrame:
         joined = rows.join(rates, F.col("m_source").eqNullSafe(F.col("r_source")))
-        counted = joined.withColumn("m_n", _copies(F.col("m_id"), F.col("parts"), F.col("cdf"), seed)).where("m_n > 0")
+        counted = joined.withColumn("m_n", _copies(key, F.col("parts"), F.col("cdf"), seed)).where("m_n > 0")
         copies = counted.drop("parts", "cdf", "r_source", "m_source").withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_n"))))
-        at = F.md5(F.concat_ws(":", F.lit(f"order-{seed}"), F.coalesce(F.col("m_id").cast("string"), F.lit("")), F.col("m_copy")))
-        return copies.withColumn("m_at", at).drop("m_n")
+        at = F.md5(F.concat_ws(":", F.lit(f"order-{seed}"), *[F.coalesce(k.cast("string"), F.lit("")) for k in key], F.col("m_copy")))
+        return copies.withColumn("m_at", at).drop("m_n", "m_digest")
 
     names = [F.col("doc_id").alias("m_id"), F.col("source").cast("string").alias("m_source")]
+    key = [F.col("m_id")]
+    if by_text:
+        names.append(F.xxhash64(common.text_or_empty(text)).alias("m_digest"))
+        key.append(F.col("m_digest"))
     digits = common.bucket_digits(math.ceil(planned), BYTES_PER_BUCKET)
     thin = exploded(docs.select(*names))
     wide = exploded(docs.select(common.packed(docs).alias("row"), *names))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+import corpus_pipeline
 from tamarack.llm import common, mixing
 
 from .conftest import ODD, prose
@@ -85,3 +86,11 @@ def test_shares_follow_the_weights(docs):
 def test_no_python_in_the_plan(odd):
     plan = mixing.mix_sources(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_the_pipeline_draws_null_and_repeated_ids_by_their_texts(docs):
+    df = docs([(None, prose(i, 5)) for i in range(400)] + [(7, prose(1000 + i, 5)) for i in range(400)])
+    mixed = corpus_pipeline.mix(df.sparkSession, df, "").collect()
+    for doc_id in (None, 7):
+        copies = Counter(r.text for r in mixed if r.doc_id == doc_id)
+        assert 340 <= sum(copies.values()) <= 460 and 200 <= len(copies) <= 300 and max(copies.values()) >= 3

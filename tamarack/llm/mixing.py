@@ -83,7 +83,8 @@ def mix_sources(
     """The mixture: all columns of docs for each copy, then copy (from 1) and position (0, 1, 2 ... overall).
 
     Rows come out in the order of position within each partition, and partitions hold random parts of it.
-    Without `numbered` the columns are those of docs alone.
+    Without `numbered` the columns are those of docs alone; partitions are dealt by the key that position
+    orders by and sorted by it, with no numbers and so no counts.
 
     The same doc_id always gets the same number of copies at the same rate, which may be 0: rows that share a
     doc_id, as all with a null one, stay or go together. With `by_text` the number is drawn from doc_id and a
@@ -94,11 +95,10 @@ def mix_sources(
     """
     common.require(docs, doc_id="bigint", source="string", **{text: "string"})
     rates = common.cut(with_distribution(source_rates(docs, weights, scale, text)))
-    planned = rates.agg(F.sum(F.col("bytes") * F.col("rate"))).first()[0] or 0.0
-    rates = common.broadcast_if_small(rates.select(F.col("source").alias("r_source"), "parts", "cdf"), BROADCAST_SOURCES)
+    shares = common.broadcast_if_small(rates.select(F.col("source").alias("r_source"), "parts", "cdf"), BROADCAST_SOURCES)
 
     def exploded(rows: DataFrame) -> DataFrame:
-        joined = rows.join(rates, F.col("m_source").eqNullSafe(F.col("r_source")))
+        joined = rows.join(shares, F.col("m_source").eqNullSafe(F.col("r_source")))
         counted = joined.withColumn("m_n", _copies(key, F.col("parts"), F.col("cdf"), seed)).where("m_n > 0")
         copies = counted.drop("parts", "cdf", "r_source", "m_source").withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_n"))))
         at = F.md5(F.concat_ws(":", F.lit(f"order-{seed}"), *[F.coalesce(k.cast("string"), F.lit("")) for k in key], F.col("m_copy")))
@@ -109,13 +109,14 @@ def mix_sources(
     if by_text:
         names.append(F.xxhash64(common.text_or_empty(text)).alias("m_digest"))
         key.append(F.col("m_digest"))
-    digits = common.bucket_digits(math.ceil(planned), BYTES_PER_BUCKET)
-    thin = exploded(docs.select(*names))
     wide = exploded(docs.select(common.packed(docs).alias("row"), *names))
     order = [F.col("m_id"), F.col("m_copy"), F.crc32(common.text_or_empty(f"row.{text}"))]
-    ranked = common.gapless_rank(wide, [], order, "m_at", digits, "m_position", thin)
     if not numbered:
-        return common.unpacked(ranked, "row", docs.schema)
+        return common.unpacked(wide.repartition("m_at").sortWithinPartitions("m_at", *order), "row", docs.schema)
+    planned = rates.agg(F.sum(F.col("bytes") * F.col("rate"))).first()[0] or 0.0
+    digits = common.bucket_digits(math.ceil(planned), BYTES_PER_BUCKET)
+    thin = exploded(docs.select(*names))
+    ranked = common.gapless_rank(wide, [], order, "m_at", digits, "m_position", thin)
     kept = [f for f in docs.columns if f not in ("copy", "position")]
     return ranked.select(
         *[F.col("row")[c].alias(c) for c in kept], F.col("m_copy").alias("copy"), F.col("m_position").cast("bigint").alias("position")

@@ -2,6 +2,7 @@ import hashlib
 import math
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -94,3 +95,27 @@ def test_the_pipeline_draws_null_and_repeated_ids_by_their_texts(docs):
     for doc_id in (None, 7):
         copies = Counter(r.text for r in mixed if r.doc_id == doc_id)
         assert 340 <= sum(copies.values()) <= 460 and 200 <= len(copies) <= 300 and max(copies.values()) >= 3
+
+
+def test_unnumbered_rows_are_written_in_random_order(docs, tmp_path):
+    df = docs([(i, prose(i, 5)) for i in range(500)]).coalesce(1)
+    mixing.mix_sources(df, scale=4.0, numbered=False, by_text=True).write.parquet(str(tmp_path / "mixed"))
+    total = side_by_side = rising = 0
+    for file in sorted((tmp_path / "mixed").glob("*.parquet")):
+        ids = pq.read_table(file)["doc_id"].to_pylist()
+        total += len(ids)
+        side_by_side += sum(a == b for a, b in zip(ids, ids[1:], strict=False))
+        rising += sum(a < b for a, b in zip(ids, ids[1:], strict=False))
+    assert 1800 < total < 2200 and side_by_side < 30 and 0.44 * total < rising < 0.56 * total
+
+
+def test_unnumbered_rows_are_those_of_the_numbered_mixture_in_its_order(docs):
+    df = docs([(i, prose(i, 5)) for i in range(300)]).coalesce(1)
+    place = {}
+    for r in mixing.mix_sources(df, scale=0.5).collect():
+        place.setdefault(r.doc_id, []).append(r.position)
+    parts = mixing.mix_sources(df, scale=0.5, numbered=False).rdd.glom().collect()
+    assert Counter(r.doc_id for p in parts for r in p) == {i: len(n) for i, n in place.items()}
+    for p in parts:
+        held = [place[r.doc_id][0] for r in p if len(place[r.doc_id]) == 1]
+        assert held == sorted(held)

@@ -45,8 +45,16 @@ ALLOWED = (
     r"[A-Za-z]*(?:[+/_=-]+[A-Za-z]*)*[+/_=-]*[0-9]{0,4}",
     r"(?:[A-Za-z]+[0-9]{0,4}[+/_=-]+)+(?:[A-Za-z]+[0-9]{0,4})?",
 )
-#: Not secrets where a candidate contains one of them.
-ALLOWED_WORDS = ("example", "EXAMPLE", "placeholder", "abcdefghij", "ABCDEFGHIJ", "0123456789abcdef")
+#: Not secrets: the parts between signs that one of them lies in. The rest of a candidate is scanned.
+ALLOWED_WORDS = (
+    "example", "EXAMPLE", "placeholder", "abcdefghij", "ABCDEFGHIJ", "0123456789abcdef", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+)
+#: Letters of both cases aren't words if more than one in so many of their runs of one case is a single small letter
+#: or several capitals.
+IRREGULAR = 4
+_LETTERS = re.compile(rf"[A-Za-z]{{{WINDOW},}}")
+_RUNS = re.compile(r"[a-z]+|[A-Z]+")
+_SEGMENT = re.compile(r"[A-Za-z0-9]+")
 
 _N_LOG = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
@@ -67,7 +75,18 @@ class Scanner:
         self.words, self.thresholds = words, thresholds
 
     def suppressed(self, candidate: str) -> bool:
-        return any(w in candidate for w in self.words) or any(p.fullmatch(candidate) for p in self.allowed)
+        return any(p.fullmatch(candidate) for p in self.allowed) and not any(mixed_letters(x) for x in _LETTERS.findall(candidate))
+
+    def open_parts(self, candidate: str) -> Iterator[tuple[int, int]]:
+        """What is left of a candidate without the parts between signs that hold an allowed word."""
+        words = [(m.start(), m.end()) for w in self.words if w in candidate for m in re.finditer(re.escape(w), candidate)]
+        start = 0
+        if words:
+            for m in _SEGMENT.finditer(candidate):
+                if any(a < m.end() and m.start() < b for a, b in words):
+                    yield start, m.start()
+                    start = m.end()
+        yield start, len(candidate)
 
     def high_parts(self, candidate: str) -> Iterator[tuple[int, int]]:
         """Joined windows whose entropy reaches the class's threshold."""
@@ -109,13 +128,20 @@ class Scanner:
     def entropy(self, text: str) -> list[Span]:
         found = []
         for m in _CANDIDATE.finditer(text):
-            if not self.suppressed(m[0]):
-                parts = [p for p in _PART.finditer(m[0]) if p[0] != m[0] and not self.suppressed(p[0])]
-                high = [*self.high_parts(m[0]), *((p.start() + a, p.start() + b) for p in parts for a, b in self.high_parts(p[0]))]
-                found += [Span("entropy", m.start() + a, m.start() + b) for a, b in joined(high)]
+            for at, end in self.open_parts(m[0]):
+                whole = m[0][at:end]
+                parts = [(0, whole), *((p.start(), p[0]) for p in _PART.finditer(whole) if p[0] != whole)]
+                high = [(i + a, i + b) for i, part in parts if len(part) >= WINDOW and not self.suppressed(part) for a, b in self.high_parts(part)]
+                found += [Span("entropy", m.start() + at + a, m.start() + at + b) for a, b in joined(high)]
         return found
 
 
+def mixed_letters(letters: str) -> bool:
+    """Letters whose case changes as in a key and not as in words: a word's capital is one, and small letters follow."""
+    runs = _RUNS.findall(letters)
+    return len(runs) > 2 and IRREGULAR * sum((len(r) == 1) == r.islower() for r in runs) > len(runs)
+
+
 def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Ranges that overlap or touch become one."""
     whole: list[tuple[int, int]] = []

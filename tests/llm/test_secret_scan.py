@@ -92,6 +92,22 @@ def test_a_part_and_its_candidate_give_one_span():
     assert [str(s) for s in SCAN.entropy(f"k {key}+/{key[::-1]}")] == ["entropy:2:84"]
 
 
+def test_an_allowed_word_suppresses_its_own_part_only():
+    key = "".join(random.Random(8).sample(string.ascii_letters + string.digits, 40))
+    assert [str(s) for s in SCAN.entropy(f"/example/{key} x")] == ["entropy:8:49"]  # the sign is a key character too
+    assert [str(s) for s in SCAN.entropy(f"{key}_placeholder")] == ["entropy:0:41"]
+    assert SCAN.entropy(f"{key[:15]}example{key[15:]}") == []
+    assert SCAN.entropy("key wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY") == []
+
+
+def test_keys_of_letters_alone():
+    rng = random.Random(6)
+    keys = ["".join(rng.choices(string.ascii_letters, k=32)) for _ in range(300)]
+    assert sum(bool(SCAN.entropy(k)) for k in keys) >= 0.9 * len(keys)
+    for words in ("getUserByIdAndNameOrNull", "AbstractSingletonProxyFactoryBeanOfHttpClient", "SCREAMINGLETTERSALLTHROUGHOUT", "parseXmlToJsonInPlaceAsUtf"):
+        assert SCAN.entropy(words) == [], words
+
+
 def test_odd_rows(odd):
     found = S.scan_secrets(odd).collect()
     assert len(found) == len(ODD)

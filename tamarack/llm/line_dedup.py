@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from . import common, rolling
 
-#: Shorter lines go only if they are equal to an earlier one.
+#: Shorter lines go only if they are equal to an earlier one, where a caller doesn't choose another length.
 LEAST_LENGTH = 20
 PARTS = 3
 BLANKS = " \t\r\x0b\x0c"
@@ -39,7 +39,7 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
     return rows.select("doc_id", "key", "line_no", F.btrim("raw", F.lit(BLANKS)).alias("line")).where("line != ''")
 
 
-def _coarse_keys(line: Column) -> list[Column]:
+def _coarse_keys(line: Column, least_length: int) -> list[Column]:
     """The line as one of its own length, and as the longer of a pair: without each third, for either."""
     length = F.char_length(line)
     keys = []
@@ -48,7 +48,7 @@ def _coarse_keys(line: Column) -> list[Column]:
         for i in range(PARTS):
             begin, end = F.floor(shorter * i / PARTS).cast("int"), F.floor(shorter * (i + 1) / PARTS).cast("int")
             key = F.xxhash64(shorter, F.lit(i), F.substring(line, F.lit(1), begin), F.substring(line, end + longer + 1, length))
-            keys.append(F.when(length >= LEAST_LENGTH, key))
+            keys.append(F.when(length >= least_length, key))
     return keys
 
 
@@ -94,11 +94,11 @@ def _order(*names: str) -> Column:
     return F.struct(*[F.col(n) for n in names])
 
 
-def distinct_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+def distinct_lines(docs: DataFrame, text: str = "text", least_length: int = LEAST_LENGTH) -> DataFrame:
     """The first line of each set of equal ones: lid, doc_id, key, line_no, and the coarse keys k0 to k5."""
     lines = _lines(docs, text)
     keyed = lines.select(
-        F.unhex(F.md5("line")).alias("digest"), "doc_id", "key", "line_no", *[k.alias(f"k{i}") for i, k in enumerate(_coarse_keys(F.col("line")))]
+        F.unhex(F.md5("line")).alias("digest"), "doc_id", "key", "line_no", *[k.alias(f"k{i}") for i, k in enumerate(_coarse_keys(F.col("line"), least_length))]
     )
     slots = [f"k{i}" for i in range(2 * PARTS)]
     first = keyed.groupBy("digest").agg(F.min(_order("doc_id", "key", "line_no")).alias("first"), *[F.max(k).alias(k) for k in slots])
@@ -156,17 +156,17 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_lines", "n_kept", "kept_text"])
 
 
-def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", least_length: int = LEAST_LENGTH) -> DataFrame:
     """One row per document: doc_id, n_lines, n_kept, kept_text.
 
     A line goes if an earlier one (by doc_id, then place in the text) is equal to it, blanks at the ends
-    aside, or within one edit of it, where both have LEAST_LENGTH characters or more; the earlier line may
+    aside, or within one edit of it, where both have least_length characters or more; the earlier line may
     itself have gone. Blank lines stay and don't count. Null text is empty. Null doc_ids come first.
     Rows that repeat both doc_id and text are one document and lose the same lines. Empty table: empty
     result. Other columns aren't read.
     """
     common.require(docs, doc_id="bigint", **{text: "string"})
-    firsts = distinct_lines(docs, text)
+    firsts = distinct_lines(docs, text, least_length)
     gone = near_links(candidates(firsts, docs, text)).select(F.col("late").alias("lid")).distinct()
     kept = firsts.join(gone, "lid", "left_anti").groupBy("doc_id", "key").agg(F.collect_list("line_no").alias("held"))
     kept = kept.select(F.col("doc_id").alias("k_id"), F.col("key").alias("k_key"), "held")

@@ -88,3 +88,27 @@ def test_without_the_broadcast(docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_DOCUMENTS", 0)
     rows = [(i, f"a line that is long enough number {i}") for i in range(20)]
     assert got(docs(rows)) == brute(rows)
+
+
+def test_short_lines_go_where_the_caller_chooses_so(docs):
+    rng = random.Random(12)
+    lines = ["Terms of service", "Terms of service.", "Home", "Hone", "Homes", "About us", "a", "bc"]
+    lines += ["".join(rng.choices("abé", k=rng.randrange(1, 9))) for _ in range(150)]
+
+    def within_one(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    df = docs([(i, "\n".join(lines[i::5])) for i in range(5)])
+    for least in (1, 4, 20):
+        earlier, kept = [], {}
+        for i in range(5):
+            kept[i] = []
+            for x in lines[i::5]:
+                if not any(x == y or (min(len(x), len(y)) >= least and within_one(x, y)) for y in earlier):
+                    kept[i].append(x)
+                earlier.append(x)
+        assert {r.doc_id: r.kept_text.split("\n") if r.n_kept else [] for r in line_dedup.dedup_lines(df, least_length=least).collect()} == kept

@@ -9,6 +9,7 @@ sk- before a key doesn't change the key's class. An allow-list suppresses what i
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -37,12 +38,12 @@ _ALPHANUMERIC_CLASS = re.compile(r"[A-Za-z0-9]+")
 _PART = re.compile(rf"[A-Za-z0-9]{{{WINDOW},}}")
 
 #: Never secrets, matched against the whole candidate or part: UUIDs, plain numbers and dates, words joined by signs,
-#: paths of words, and rules of one or two signs.
+#: paths of words, and rules of one or two signs. No repeated group can begin
+#: with what may end the one before, so that a match takes linear time.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"[0-9+/_=-]+",
-    r"[A-Za-z]+",
-    r"[A-Za-z]*(?:[+/_=-]+[A-Za-z]*)*[+/_=-]*[0-9]{0,4}",
+    r"[A-Za-z+/_=-]*[0-9]{0,4}",
     r"(?:[A-Za-z]+[0-9]{0,4}[+/_=-]+)+(?:[A-Za-z]+[0-9]{0,4})?",
 )
 #: Not secrets: the parts between signs that one of them lies in. The rest of a candidate is scanned.
@@ -79,11 +80,14 @@ class Scanner:
 
     def open_parts(self, candidate: str) -> Iterator[tuple[int, int]]:
         """What is left of a candidate without the parts between signs that hold an allowed word."""
-        words = [(m.start(), m.end()) for w in self.words if w in candidate for m in re.finditer(re.escape(w), candidate)]
-        start = 0
+        words = sorted((m.start(), m.end()) for w in self.words if w in candidate for m in re.finditer(re.escape(w), candidate))
+        start = at = 0
         if words:
+            furthest = list(itertools.accumulate((b for _, b in words), max))
             for m in _SEGMENT.finditer(candidate):
-                if any(a < m.end() and m.start() < b for a, b in words):
+                while at < len(words) and words[at][0] < m.end():
+                    at += 1
+                if at and furthest[at - 1] > m.start():
                     yield start, m.start()
                     start = m.end()
         yield start, len(candidate)
@@ -101,14 +105,14 @@ class Scanner:
         counts: dict[str, int] = {}
         total, start, end = 0.0, -1, -1
         for i, c in enumerate(candidate):
-            n = counts.get(c, 0)
-            counts[c] = n + 1
-            total += _N_LOG[n + 1] - _N_LOG[n]
             if i >= WINDOW:
                 gone = candidate[i - WINDOW]
                 n = counts[gone]
                 counts[gone] = n - 1
                 total += _N_LOG[n - 1] - _N_LOG[n]
+            n = counts.get(c, 0)
+            counts[c] = n + 1
+            total += _N_LOG[n + 1] - _N_LOG[n]
             if i >= WINDOW - 1 and total <= most:
                 first = i - WINDOW + 1
                 if first > end:

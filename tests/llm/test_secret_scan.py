@@ -3,6 +3,7 @@ import math
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import pytest
@@ -108,6 +109,49 @@ def test_keys_of_letters_alone():
         assert SCAN.entropy(words) == [], words
 
 
+SIGNS = "+/_=-"
+
+
+def naive_suppressed(text):
+    """The allow-list's rules one character or part at a time."""
+    parts = text.split("-")
+    if [len(p) for p in parts] == [8, 4, 4, 4, 12] and all(c in string.hexdigits for p in parts for c in p):
+        known = True
+    elif all(c in SIGNS + string.digits for c in text):
+        known = True
+    elif any(all(c in SIGNS + string.ascii_letters for c in text[: len(text) - k]) and (text[len(text) - k :] or "0").isdigit() for k in range(5)):
+        known = True
+    else:
+        words = "".join(" " if c in SIGNS else c for c in text).split(" ")
+        whole = [w for w in words if w]
+        known = words[0] != "" and len(words) > 1 and all(w.rstrip(string.digits).isalpha() and len(w) - len(w.rstrip(string.digits)) <= 4 for w in whole)
+    letters, runs = "", []
+    for c in text + " ":
+        if c.isalpha():
+            letters += c
+        else:
+            runs.append(letters)
+            letters = ""
+    return known and not any(len(r) >= S.WINDOW and S.mixed_letters(r) for r in runs)
+
+
+def test_suppression_equals_its_rules():
+    rng = random.Random(9)
+    parts = ["a", "Bc", "word", "-", "/", "_=", "1", "2024", "0" * 5, "--", "deadbeef", "0000", "123456789012", "XyZzYxQwVuTs"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 9))) for _ in range(4000)] + ["123e4567-e89b-12d3-a456-426614174000"]
+    found = [SCAN.suppressed(t) for t in texts]
+    assert found == [naive_suppressed(t) for t in texts] and 500 < sum(found) < 3800
+
+
+def test_long_rules_and_many_allowed_words_take_linear_time():
+    key = "7MA4YWxkTrZu0gW1x"
+    for text in ("-" * 10_000 + key, "----WebKitFormBoundary" + "-" * 10_000 + key, "=_" * 5_000 + key, "a1-" * 5_000 + "a" * 12 + "00000", "/".join(["example"] * 20_000) + key, ("token" + " " * 40) * 2_000):
+        began = time.perf_counter()
+        SCAN.entropy(text)
+        SCAN.base(text)
+        assert time.perf_counter() - began < 1
+
+
 def test_odd_rows(odd):
     found = S.scan_secrets(odd).collect()
     assert len(found) == len(ODD)

@@ -30,6 +30,8 @@ PARTS = 3
 BLANKS = " \t\r\x0b\x0c"
 #: Candidate lines are fetched by a broadcast of their documents' keys (16 bytes each) up to so many.
 BROADCAST_DOCUMENTS = 200_000
+#: Variants that a Python worker gathers before it sends them on.
+VARIANTS_AT_ONCE = 1 << 16
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
@@ -82,11 +84,21 @@ def _variants(line: str, slots: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 def _variant_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lid, line, slots in zip(batch.column("lid").to_pylist(), batch.column("line").to_pylist(), batch.column("slots").to_pylist(), strict=True):
-            keys, roles = _variants(line, slots)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(keys), lid, np.int64)), pa.array(keys.view(np.int64)), pa.array(roles)], ["lid", "variant", "role"]
-            )
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows = 0
+        for lid, line, slots in zip(batch.column("lid").to_pylist(), batch.column("line"), batch.column("slots"), strict=True):
+            keys, roles = _variants(line.as_py(), slots.as_py())
+            held.append((np.full(len(keys), lid, np.int64), keys.view(np.int64), roles))
+            rows += len(keys)
+            if rows >= VARIANTS_AT_ONCE:
+                yield _variant_batch(held)
+                held, rows = [], 0
+        if held:
+            yield _variant_batch(held)
+
+
+def _variant_batch(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["lid", "variant", "role"])
 
 
 def _order(*names: str) -> Column:
@@ -144,16 +156,10 @@ def near_links(lines: DataFrame) -> DataFrame:
     return checked.where(F.levenshtein("late_line", "early_line", 1).between(0, 1)).select("late", "early")
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text, held in zip(batch.column("text").to_pylist(), batch.column("held").to_pylist(), strict=True):
-            keep = set(held or ())
-            lines = text.split("\n")
-            blank = [not line.strip(BLANKS) for line in lines]
-            rows.append((sum(not b for b in blank), len(keep), "\n".join(line for i, line in enumerate(lines) if blank[i] or i in keep)))
-        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string()))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_lines", "n_kept", "kept_text"])
+def _blank_places(lines: Column) -> Column:
+    """Numbers of the lines that are blank."""
+    numbered = F.transform(lines, lambda line, i: F.when(F.btrim(line, F.lit(BLANKS)) == "", i))
+    return F.filter(numbered, lambda i: i.isNotNull())
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", least_length: int = LEAST_LENGTH) -> DataFrame:
@@ -171,6 +177,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", least_length: int = LEAST_L
     kept = firsts.join(gone, "lid", "left_anti").groupBy("doc_id", "key").agg(F.collect_list("line_no").alias("held"))
     kept = kept.select(F.col("doc_id").alias("k_id"), F.col("key").alias("k_key"), "held")
     whole = common.text_or_empty(text)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(whole).alias("key"), whole.alias("text"))
+    # Lines are split before the join, so that the steps after it find each line by its number.
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(whole).alias("key"), F.split(whole, "\n").alias("lines"))
     joined = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("key") == F.col("k_key")), "left")
-    return common.in_python(joined.select("doc_id", "text", "held"), _rebuild, "doc_id bigint, n_lines bigint, n_kept bigint, kept_text string")
+    found = joined.select("doc_id", "lines", F.coalesce("held", F.array().cast("array<int>")).alias("held"), _blank_places(F.col("lines")).alias("blank"))
+    stay = F.transform(F.array_sort(F.concat("held", "blank")), lambda i: F.get(F.col("lines"), i))
+    return found.select(
+        "doc_id",
+        (F.size("lines") - F.size("blank")).cast("bigint").alias("n_lines"),
+        F.size("held").cast("bigint").alias("n_kept"),
+        F.array_join(stay, "\n").alias("kept_text"),
+    )

@@ -173,7 +173,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", least_length: int = LEAST_L
     """
     common.require(docs, doc_id="bigint", **{text: "string"})
     firsts = distinct_lines(docs, text, least_length)
-    gone = near_links(candidates(firsts, docs, text)).select(F.col("late").alias("lid")).distinct()
+    gone = common.cut(near_links(candidates(firsts, docs, text)).select(F.col("late").alias("lid")).distinct())
+    common.release(docs.sparkSession)
     kept = firsts.join(gone, "lid", "left_anti").groupBy("doc_id", "key").agg(F.collect_list("line_no").alias("held"))
     kept = kept.select(F.col("doc_id").alias("k_id"), F.col("key").alias("k_key"), "held")
     whole = common.text_or_empty(text)

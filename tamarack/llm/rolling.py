@@ -33,13 +33,15 @@ class _Powers:
 
 
 POWERS = _Powers()
+_BYTES = mixed(np.arange(256, dtype=np.uint64))
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """S, one longer than values: the hash of values[a:b] is (S[b] - S[a]) * base ** -a, mixed."""
     POWERS.to(len(values))
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(mixed(values.astype(np.uint64)) * POWERS.up[: len(values)], out=sums[1:])
+    each = _BYTES[values] if values.dtype == np.uint8 else mixed(values.astype(np.uint64))
+    np.cumsum(each * POWERS.up[: len(values)], out=sums[1:])
     return sums
 
 

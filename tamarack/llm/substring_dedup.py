@@ -1,13 +1,15 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash over the last 16 bytes decides where chunks end, so chunks follow the content: bytes put in or
-taken out change the chunks around them and no others. A chunk's digest covers it and the two chunks after
-it, about 66 bytes. Digests found in more than one document are joined back to their places; the earliest
-document keeps its bytes, and elsewhere touching places are joined to spans. Spans of LEAST_BYTES go.
-
-Chunks lose the ends of a passage, and short passages with them. `shared_spans`, the query, loses neither: of
-any REACH successive windows of SEED bytes the one with the least hash is a seed, so texts that share SEED +
-REACH - 1 bytes share a seed, and runs of shared seeds are extended byte by byte against the earlier document.
+A gear hash rolls over the last GEAR bytes. Of any REACH successive places the one with the least gear hash is a
+cut, so cuts follow the content alone: bytes put in or taken out change the cuts around them and no others, and
+cuts are less than REACH bytes apart. From each cut a chunk goes to the first cut that is LEAST_CHUNK bytes away
+or more. Chunks of variable length are deduplicated by digest: digests found in more than one document are joined
+back to their places, the earliest document keeps its bytes, and elsewhere touching chunks are joined to runs.
+
+A chunk's neighbours see the bytes around a passage, so the passage goes on beyond its chunks. Each run is
+therefore extended byte by byte against the earlier document, and only then measured: spans of LEAST_BYTES go.
+Two texts that share SURE_BYTES share a chunk; where chunks' digests are equal but not their bytes, the
+extension finds no common byte, and a single chunk is shorter than a span.
 """
 
 from __future__ import annotations
@@ -16,144 +18,107 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common, rolling
 
-#: A chunk ends where the gear hash is below LIMIT of 65,536, at least LEAST_CHUNK bytes after the last end, or
-#: after MOST_CHUNK bytes. That is a prime, so that the chunks of a repeated word come to begin at each of its bytes.
-LIMIT, LEAST_CHUNK, MOST_CHUNK = 4096, 8, 61
-#: Chunks that a digest covers.
-COVERED = 3
+#: Bytes that a gear hash covers, one for each of its bits.
+GEAR = 16
+#: Places of which one is a cut, and the least bytes of a chunk.
+REACH, LEAST_CHUNK = 56, 40
+#: A passage of so many bytes has a chunk whose cuts depend on nothing outside of it.
+SURE_BYTES = GEAR - 3 + 3 * REACH + LEAST_CHUNK
 #: Shorter spans stay: common phrases, stock lines. A passage of 50 words has about 300 bytes.
 LEAST_BYTES = 160
-#: Stands for a null doc_id; below all others.
-NO_ID = -(2**63)
-#: Bytes of a seed, and windows of which one is a seed; REACH is a power of two and at most SEED, so that the seeds
-#: of a passage touch. Any 127 bytes that are shared have a shared seed; the ends are less than REACH bytes away.
-SEED, REACH = 64, 64
-#: Windows hashed at once.
+#: Bytes on either side of a run's end that are compared with the earlier document's.
+AROUND = 192
+#: Places hashed at once.
 SEGMENT = 1 << 20
 LEFT, RIGHT = 0, 1
+CHUNKS = "digest bigint, doc_id bigint, key bigint, start bigint, size int"
 
 _GEAR = (rolling.mixed(np.arange(256, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """At each byte the sum of gear[b] << distance over the last 16 bytes, modulo 2 ** 16, by doubling."""
+    """At each byte the sum of gear[b] << distance over the last GEAR bytes, modulo 2 ** 16, by doubling."""
     h = _GEAR[data]
-    for n in (1, 2, 4, 8):
+    n = 1
+    while n < GEAR:
         h[n:] = h[n:] + (h[:-n] << np.uint16(n))
+        n *= 2
     return h
 
 
-def chunk_ends(data: np.ndarray) -> list[int]:
-    """Ends of a text's chunks; the last is its length."""
-    ends, last = [], 0
-    for end in [*(np.nonzero(gear_hashes(data) < LIMIT)[0] + 1).tolist(), len(data)]:
-        while end - last > MOST_CHUNK:
-            last += MOST_CHUNK
-            ends.append(last)
-        if end - last >= LEAST_CHUNK:
-            ends.append(end)
-            last = end
-    if last < len(data):
-        ends.append(len(data))
-    return ends
-
-
-def digests(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digest, start and end of each run of COVERED chunks."""
-    data = np.frombuffer(text, np.uint8)
-    at = np.array([0, *chunk_ends(data)], dtype=np.int64)
-    a, b = at[:-COVERED], at[COVERED:]
-    if not len(a):
-        return np.zeros(0, np.uint64), a, a
-    return rolling.part_hashes(rolling.prefix_sums(data), a, b), a, b
-
-
 def _sliding(best: np.ufunc, values: np.ndarray) -> np.ndarray:
-    """The least or greatest of each REACH successive values, by doubling."""
+    """The least or greatest of each REACH successive values: by doubling, and two overlapping halves."""
     n = 1
-    while n < REACH:
+    while 2 * n <= REACH:
         values = best(values[:-n], values[n:])
         n *= 2
-    return values
+    return best(values[: -(REACH - n)], values[REACH - n :]) if n < REACH else values
 
 
-def seeds(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each seed; equal seeds that overlap, as in a repeated word, are one."""
-    data = np.frombuffer(text, np.uint8)
-    n = len(data) - SEED + 1
-    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Where a text's chunks may begin and end: after each byte whose gear hash is the least of REACH successive ones."""
+    n = len(data) - GEAR + 1  # places with a whole gear hash
+    found = [np.zeros(0, np.int64)]
     for at in range(0, n if n >= REACH else 0, SEGMENT):
         low, high = max(0, at - REACH + 1), min(n, at + SEGMENT + REACH - 1)
-        sums = rolling.prefix_sums(data[low : high + SEED - 1])
-        places = np.arange(high - low)
-        h = rolling.part_hashes(sums, places, places + SEED)
-        chosen = np.nonzero(h == _sliding(np.maximum, np.pad(_sliding(np.minimum, h), REACH - 1)))[0]
-        chosen = chosen[(chosen + low >= at) & (chosen + low < at + SEGMENT)]
-        hashes.append(h[chosen])
-        starts.append(chosen + low)
-    found, a = np.concatenate(hashes), np.concatenate(starts)
-    new = np.ones(len(a), bool)
-    new[1:] = (found[1:] != found[:-1]) | (np.diff(a) > SEED)
-    last = np.append(new[1:], True)[: len(a)]
-    return found[new], a[new], a[last] + SEED
-
-
-def _digest_batches(places: bool, digests=digests):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["digest", "doc", "start", "size"] if places else ["digest"]
-        for batch in batches:
-            held: list[tuple] = []
-            rows = 0
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("whole"), strict=True):
-                found, a, b = digests(text.as_py())
-                if places:
-                    held.append((found, np.full(len(a), doc, np.int64), a, (b - a).astype(np.int32)))
-                else:
-                    held.append((np.unique(found),))
-                rows += len(a)
-                if rows >= 1 << 16:
-                    yield _batch(held, names)
-                    held, rows = [], 0
-            if held:
-                yield _batch(held, names)
+        if high - low < REACH:
+            low = high - REACH
+        h = gear_hashes(data[low : high + GEAR - 1])[GEAR - 1 :]
+        chosen = np.nonzero(h == _sliding(np.maximum, np.pad(_sliding(np.minimum, h), REACH - 1)))[0] + low
+        found.append(chosen[(chosen >= at) & (chosen < at + SEGMENT)])
+    return np.concatenate(found) + GEAR
 
-    return run
 
+def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest, start and end of each chunk; equal chunks that overlap, as in a repeated word, are one."""
+    data = np.frombuffer(text, np.uint8)
+    at = cuts(data)
+    stop = np.searchsorted(at, at + LEAST_CHUNK)
+    a, b = at[stop < len(at)], at[stop[stop < len(at)]]
+    found = np.zeros(len(a), np.uint64)
+    for low in range(0, len(a), SEGMENT // REACH):
+        high = min(len(a), low + SEGMENT // REACH)
+        base = a[low]
+        found[low:high] = rolling.part_hashes(rolling.prefix_sums(data[base : b[high - 1]]), a[low:high] - base, b[low:high] - base)
+    new = np.ones(len(a), bool)
+    new[1:] = (found[1:] != found[:-1]) | (a[1:] > b[:-1])
+    last = np.append(new[1:], True)[: len(a)]
+    return found[new], a[new], b[last]
 
-def _batch(held: list[tuple], names: list[str]) -> pa.RecordBatch:
-    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-    columns[0] = columns[0].view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-
-def repeated_spans(docs: DataFrame, text: str = "text", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """doc_id, start, end, first_doc_id: bytes of texts (UTF-8) that an earlier document has too.
-
-    first_doc_id is the earliest document (smallest doc_id, null before all) with a part of the span. A
-    passage repeated within one document alone stays. Rows that share a doc_id are one document. Null and
-    short texts have no spans. Empty table: empty result. Other columns aren't read.
 
-    A digest in a third of all documents costs one row for each place: counts and earliest documents are
-    combined before they are shuffled, and are cut, so that Spark splits the joins' hot keys.
-    """
-    common.require(docs, doc_id="bigint", **{text: "string"})
-    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    rows = docs.select(doc.alias("doc"), common.text_or_empty(text).cast("binary").alias("whole"))
-    counted = common.in_python(rows, _digest_batches(False), "digest bigint").groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    repeated = common.cut(counted.where("n > 1").select("digest"))
-    places = common.in_python(rows, _digest_batches(True), "digest bigint, doc bigint, start bigint, size int")
-    places = common.cut(places.join(repeated, "digest", "left_semi"))
-    earliest = places.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    earliest = common.cut(earliest.select("digest", "first"))
-    later = places.join(earliest, "digest").where("doc > first")
-    later = later.select("doc", "start", (F.col("start") + F.col("size")).alias("end"), "first")
-    return _joined_spans(later, least_bytes)
+def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held: list[tuple] = []
+        rows = 0
+        for doc_id, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("whole"), strict=True):
+            found, a, b = chunks(text.as_py())
+            if len(a):
+                held.append((doc_id, key, found, a, (b - a).astype(np.int32)))
+                rows += len(a)
+            if rows >= 1 << 16:
+                yield _chunk_batch(held)
+                held, rows = [], 0
+        if held:
+            yield _chunk_batch(held)
+
+
+def _chunk_batch(held: list[tuple]) -> pa.RecordBatch:
+    doc_ids, keys, found, starts, sizes = zip(*held, strict=True)
+    of = np.repeat(np.arange(len(held)), [len(a) for a in starts])
+    columns = [
+        pa.array(np.concatenate(found).view(np.int64)),
+        pa.array(doc_ids, pa.int64()).take(pa.array(of)),
+        pa.array(np.array(keys, np.int64)[of]),
+        pa.array(np.concatenate(starts)),
+        pa.array(np.concatenate(sizes)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["digest", "doc_id", "key", "start", "size"])
 
 
 def _numbered(places: DataFrame) -> DataFrame:
@@ -164,27 +129,19 @@ def _numbered(places: DataFrame) -> DataFrame:
     return places.withColumn("begins", begins).withColumn("span", F.sum("begins").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def _joined_spans(places: DataFrame, least_bytes: int) -> DataFrame:
-    """Places of one document that touch or overlap become one span; a group is one document's chunks."""
-    spans = _numbered(places).groupBy("doc", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"))
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    long = spans.where(F.col("end") - F.col("start") >= least_bytes)
-    return long.select(known("doc").alias("doc_id"), "start", "end", known("first").alias("first_doc_id"))
-
-
 def _around_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes around each place asked for: its seed and up to REACH - 1 bytes before it or after it."""
+    """The bytes around each place asked for: what is known of the run, and up to AROUND bytes beyond it."""
     for batch in batches:
         rows = []
-        for doc, data, asked in zip(batch.column("doc").to_pylist(), batch.column("whole"), batch.column("asked").to_pylist(), strict=True):
+        for doc_id, key, data, asked in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("whole"), batch.column("asked").to_pylist(), strict=True):
             data = data.as_py()
             for place in asked:
                 side, at = place["side"], place["at"]
-                before, after = (REACH - 1, SEED) if side == LEFT else (SEED, REACH - 1)
-                rows.append((doc, side, at, data[max(0, at - before) : at], data[at : at + after]))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        for i in range(0, len(rows), 1 << 15):
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows[i : i + (1 << 15)], strict=True), kinds, strict=True)]
+                before, after = (AROUND, LEAST_CHUNK) if side == LEFT else (LEAST_CHUNK, AROUND)
+                rows.append(({"doc_id": doc_id, "key": key}, side, at, data[max(0, at - before) : at], data[at : at + after]))
+        kinds = [pa.struct([("doc_id", pa.int64()), ("key", pa.int64())]), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        for i in range(0, len(rows), 1 << 13):
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows[i : i + (1 << 13)], strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["doc", "side", "at", "before", "after"])
 
 
@@ -197,7 +154,7 @@ def _same_bytes(one: bytes, other: bytes) -> int:
 
 
 def _more_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How far each end's bytes go on like the earlier document's; nothing where the seeds only share a hash."""
+    """How far each end's bytes go on like the earlier document's; nothing where the chunks only share a digest."""
     for batch in batches:
         more = []
         for side, before, after, f_before, f_after in zip(*(batch.column(c).to_pylist() for c in ("side", "before", "after", "f_before", "f_after")), strict=True):
@@ -208,21 +165,43 @@ def _more_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("span"), batch.column("side"), pa.array(more, pa.int32())], ["doc", "span", "side", "more"])
 
 
-def shared_spans(docs: DataFrame, text: str = "text", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """doc_id, start, end, first_doc_id as of `repeated_spans`, but from seeds, and with their true ends.
+def _rows(docs: DataFrame, text: str) -> DataFrame:
+    whole = common.text_or_empty(text)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(whole).alias("key"), whole.cast("binary").alias("whole"))
+
+
+def _written(spark: SparkSession, name: str, rows: DataFrame) -> tuple[DataFrame, str]:
+    """Chunks written to the shared folder, and where. A column of hashes takes its own size, the others little."""
+    path = common.scratch(spark, name)
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(CHUNKS).parquet(path), path
 
-    A run of touching seeds is extended at each end as far as its bytes are those of the earliest document with
-    the seed there; least_bytes holds for what that gives. So every passage of that many bytes (127 or more) is
-    found. An end falls short (by less than REACH bytes) only where a still earlier document, or an earlier
-    place of that document, has the last seed but goes on differently.
+
+def repeated_spans(docs: DataFrame, text: str = "text", least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """doc_id, start, end, first_doc_id, text_key: bytes of texts (UTF-8) that an earlier document has too.
+
+    first_doc_id is the earliest document with a part of the span. Documents are in the order of doc_id, null
+    before all, and then of text_key, a hash of the text. Rows that share doc_id and text are one document; rows
+    that share only the doc_id, as those with a null one do, are several. A passage repeated within one document
+    alone stays. Every passage of SURE_BYTES is found, and nearly all of least_bytes. A run is extended against
+    the earliest document with its first and last chunk; an end falls short only where a still earlier document,
+    or an earlier place of that document, has that chunk but goes on differently. Null and short texts have no
+    spans. Empty table: empty result. Other columns aren't read.
+
+    Chunks are cut once and written. A digest in a third of all documents costs one row for each place: counts
+    and earliest documents are combined before they are shuffled, and are cut, so that Spark splits the joins'
+    hot keys. A window holds one document's chunks.
     """
     common.require(docs, doc_id="bigint", **{text: "string"})
-    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    rows = docs.select(doc.alias("doc"), common.text_or_empty(text).cast("binary").alias("whole"))
-    counted = common.in_python(rows, _digest_batches(False, seeds), "digest bigint").groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    repeated = common.cut(counted.where("n > 1").select("digest"))
-    places = common.in_python(rows, _digest_batches(True, seeds), "digest bigint, doc bigint, start bigint, size int")
-    places = common.cut(places.join(repeated, "digest", "left_semi"))
+    spark = docs.sparkSession
+    rows = _rows(docs, text)
+    every, chunks_path = _written(spark, "chunks", common.in_python(rows, _chunk_batches, CHUNKS))
+    repeated = common.cut(every.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
+    common.release(spark)
+    shared, shared_path = _written(spark, "shared-chunks", every.join(repeated, "digest", "left_semi"))
+    common.remove(spark, chunks_path)
+    common.release(spark)
+    places = shared.select("digest", F.struct("doc_id", "key").alias("doc"), "start", "size")
     earliest = places.groupBy("digest").agg(F.min(F.struct("doc", "start", "size")).alias("f"), F.max("doc").alias("last")).where("f.doc < last")
     earliest = common.cut(earliest.select("digest", F.col("f.doc").alias("first"), F.col("f.start").alias("f_start"), F.expr("f.start + f.size").alias("f_end")))
     later = places.join(earliest, "digest").where("doc > first")
@@ -233,27 +212,44 @@ def shared_spans(docs: DataFrame, text: str = "text", least_bytes: int = LEAST_B
         F.max(F.struct(F.col("end").alias("at"), "first", F.col("f_end").alias("f_at"))).alias("right"),
     )
     runs = common.cut(runs)
+    common.remove(spark, shared_path)
+    common.release(spark)
+    return _long_spans(_extended(runs, rows), least_bytes)
+
+
+def _extended(runs: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc, start, end, first: each run up to where its bytes and the earlier document's differ."""
     side = lambda n, c: runs.select("doc", "span", F.lit(n).alias("side"), f"{c}.at", F.col(f"{c}.first").alias("f_doc"), f"{c}.f_at")
     ends = side(LEFT, "left").unionByName(side(RIGHT, "right"))
     asked = ends.select("doc", "side", "at").unionByName(ends.select(F.col("f_doc").alias("doc"), "side", F.col("f_at").alias("at")))
     asked = asked.groupBy("doc").agg(F.collect_set(F.struct("side", "at")).alias("asked"))
-    around = common.in_python(rows.join(asked, "doc").select("doc", "whole", "asked"), _around_batches, "doc bigint, side int, at bigint, before binary, after binary")
-    around = common.cut(around)
+    asked = rows.join(asked, F.struct("doc_id", "key") == F.col("doc")).select("doc_id", "key", "whole", "asked")
+    around = common.in_python(asked, _around_batches, "doc struct<doc_id:bigint,key:bigint>, side int, at bigint, before binary, after binary")
+    around = common.cut(around.dropDuplicates(["doc", "side", "at"]))
     theirs = around.select(*[F.col(c).alias(n) for c, n in (("doc", "f_doc"), ("side", "side"), ("at", "f_at"), ("before", "f_before"), ("after", "f_after"))])
     both = ends.join(around, ["doc", "side", "at"]).join(theirs, ["f_doc", "side", "f_at"])
-    more = common.in_python(both.select("doc", "span", "side", "before", "after", "f_before", "f_after"), _more_batches, "doc bigint, span bigint, side int, more int")
+    more = common.in_python(
+        both.select("doc", "span", "side", "before", "after", "f_before", "f_after"), _more_batches, "doc struct<doc_id:bigint,key:bigint>, span bigint, side int, more int"
+    )
     of = lambda n: F.coalesce(F.max(F.when(F.col("side") == n, F.col("more"))), F.lit(0))
     more = more.groupBy("doc", "span").agg(of(LEFT).alias("more_left"), of(RIGHT).alias("more_right"))
-    whole = runs.join(more, ["doc", "span"]).select(
+    return runs.join(more, ["doc", "span"]).select(
         "doc", (F.col("left.at") - F.col("more_left")).alias("start"), (F.col("right.at") + F.col("more_right")).alias("end"), "first"
     )
-    return _joined_spans(whole, least_bytes)
+
+
+def _long_spans(places: DataFrame, least_bytes: int) -> DataFrame:
+    """Extended runs of one document that now touch or overlap become one span."""
+    spans = _numbered(places).groupBy("doc", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"))
+    long = spans.where(F.col("end") - F.col("start") >= least_bytes)
+    return long.select("doc.doc_id", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("doc.key").alias("text_key"))
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for data, spans in zip(batch.column("whole").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for data, spans in zip(batch.column("whole"), batch.column("spans").to_pylist(), strict=True):
+            data = data.as_py()
             kept, last = [], 0
             for span in sorted(spans or (), key=lambda s: s["start"]):
                 start, end = max(span["start"], last), span["end"]
@@ -268,8 +264,10 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, kept_text: the texts without the spans, whole characters only."""
-    each = spans.groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.text_or_empty(text).cast("binary").alias("whole"))
-    joined = rows.join(each, F.col("doc_id").eqNullSafe(F.col("s_id")), "left").select("doc_id", "whole", "spans")
-    return common.in_python(joined, _cut_batches, "doc_id bigint, kept_text string")
+    """doc_id, kept_text: the texts without the spans of `repeated_spans`, whole characters only.
+
+    A span is cut from the rows with its doc_id and text alone; other texts under the same doc_id stay.
+    """
+    each = spans.groupBy(F.col("doc_id").alias("s_id"), "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    joined = _rows(docs, text).join(each, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("key") == F.col("text_key")), "left")
+    return common.in_python(joined.select("doc_id", "whole", "spans"), _cut_batches, "doc_id bigint, kept_text string")

@@ -1,32 +1,81 @@
 import random
 
 import numpy as np
+import pytest
+from xxhash import xxh64_intdigest
 
-from tamarack.llm import rolling
 from tamarack.llm import substring_dedup as D
 from tamarack.llm.queries import QUERIES
 
 from .conftest import ODD, prose
 
 
+def naive_chunks(text):
+    """Start and end of each chunk by the definition, one byte and one window at a time."""
+    h, hashes = 0, []
+    for b in text:
+        h = ((h << 1) + int(D._GEAR[b])) & 0xFFFF
+        hashes.append(h)
+    at = set()
+    for i in range(D.GEAR - 1, len(text) - D.REACH + 1):
+        window = hashes[i : i + D.REACH]
+        at |= {i + k + 1 for k, x in enumerate(window) if x == min(window)}
+    found = []
+    for a in sorted(at):
+        if later := [b for b in at if b >= a + D.LEAST_CHUNK]:
+            found.append((a, min(later)))
+    whole = []
+    for a, b in found:
+        if whole and text[whole[-1][2] : whole[-1][1]] == text[a:b] and a <= whole[-1][1]:
+            whole[-1] = (whole[-1][0], b, a)
+        else:
+            whole.append((a, b, a))
+    return [(a, b, text[last:b]) for a, b, last in whole]
+
+
 def brute(rows):
-    """Spans by the definition, from the chunks of each text."""
-    places, docs_of = {}, {}
-    for doc_id, text in {(i, t or "") for i, t in rows}:
-        for digest, a, b in zip(*(x.tolist() for x in D.digests(text.encode())), strict=True):
-            places.setdefault(doc_id, []).append((a, b, digest))
-            docs_of.setdefault(digest, set()).add(D.NO_ID if doc_id is None else doc_id)
+    """Spans by the definition, from the bytes of each chunk."""
+    texts = {}
+    for doc_id, text in rows:
+        whole = (text or "").encode()
+        key = xxh64_intdigest(whole, 42)
+        texts[doc_id is not None, doc_id or 0, key - 2**64 if key >= 2**63 else key] = whole
+    places = {}
+    for doc, whole in texts.items():
+        for a, b, held in naive_chunks(whole):
+            places.setdefault(held, []).append((doc, a, b))
+    marked = {}
+    for held in places.values():
+        first, fa, fb = min(held)
+        for doc, a, b in held:
+            if doc > first:
+                marked.setdefault(doc, []).append((a, b, first, fa, fb))
     found = []
-    for doc_id, held in places.items():
-        me = D.NO_ID if doc_id is None else doc_id
-        marked = sorted((a, b, min(docs_of[d])) for a, b, d in set(held) if min(docs_of[d]) < me)
+    for doc, mine in marked.items():
+        runs = []
+        for x in sorted(mine):
+            if runs and x[0] <= max(y[1] for y in runs[-1]):
+                runs[-1].append(x)
+            else:
+                runs.append([x])
         spans = []
-        for a, b, first in marked:
-            if spans and a <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(b, spans[-1][1]), min(first, spans[-1][2]))
+        for run in runs:
+            a, first, fa = min((x[0], x[2], x[3]) for x in run)
+            n, mine, theirs = 0, texts[doc], texts[first]
+            while n < min(a, fa, D.AROUND) and mine[a - n - 1] == theirs[fa - n - 1]:
+                n += 1
+            b, last, fb = max((x[1], x[2], x[4]) for x in run)
+            m, theirs = 0, texts[last]
+            while m < min(len(mine) - b, len(theirs) - fb, D.AROUND) and mine[b + m] == theirs[fb + m]:
+                m += 1
+            spans.append((a - n, b + m, min(x[2] for x in run)))
+        joined = []
+        for a, b, first in sorted(spans):
+            if joined and a <= joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(b, joined[-1][1]), min(first, joined[-1][2]))
             else:
-                spans.append((a, b, first))
-        found += [(doc_id, a, b, None if f == D.NO_ID else f) for a, b, f in spans if b - a >= D.LEAST_BYTES]
+                joined.append((a, b, first))
+        found += [(doc[1] if doc[0] else None, a, b, f[1] if f[0] else None, doc[2]) for a, b, f in joined if b - a >= D.LEAST_BYTES]
     return sorted(found, key=repr)
 
 
@@ -34,24 +83,37 @@ def got(df):
     return sorted((tuple(r) for r in D.repeated_spans(df).collect()), key=repr)
 
 
-def test_chunks_follow_the_content():
+def test_cuts_follow_the_content():
     rng = random.Random(1)
     text = bytes(rng.randrange(32, 127) for _ in range(5000))
-    ends = set(D.chunk_ends(np.frombuffer(text, np.uint8)))
-    for at in (0, 100, 2500):
-        moved = D.chunk_ends(np.frombuffer(text[:at] + b"inserted" + text[at:], np.uint8))
-        same = {e for e in ends if e > at + 150}
-        assert same <= {e - 8 for e in moved}
-    assert D.chunk_ends(np.frombuffer(b"", np.uint8)) == [] and D.chunk_ends(np.frombuffer(b"ab", np.uint8)) == [2]
-
-
-def test_gear_hash_is_the_rolling_one():
-    data = np.frombuffer(bytes(range(256)) * 3, np.uint8)
-    h, expected = 0, []
-    for b in data.tolist():
-        h = ((h << 1) + int(D._GEAR[b])) & 0xFFFF
-        expected.append(h)
-    assert D.gear_hashes(data).tolist() == expected
+    at = set(D.cuts(np.frombuffer(text, np.uint8)).tolist())
+    for place in (0, 100, 2500):
+        moved = D.cuts(np.frombuffer(text[:place] + b"inserted" + text[place:], np.uint8)).tolist()
+        assert {e for e in at if e > place + D.GEAR + D.REACH} <= {e - 8 for e in moved}
+        assert {e for e in at if e < place - D.REACH} <= set(moved)
+    assert not len(D.cuts(np.frombuffer(b"", np.uint8))) and not len(D.cuts(np.frombuffer(b"ab" * 35, np.uint8)))
+
+
+@pytest.mark.parametrize("segment", [1 << 20, 100])
+def test_chunks_are_those_of_the_definition(monkeypatch, segment):
+    monkeypatch.setattr(D, "SEGMENT", segment)
+    rng = random.Random(5)
+    texts = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 15, 70, 71, 72, 130, 900)]
+    texts += [b"ab" * 150 + b"c" * 100 + bytes(rng.randrange(256) for _ in range(300)), "the and of ".encode() * 60, prose(3, 200).encode()]
+    for text in texts:
+        found, a, b = D.chunks(text)
+        expected = naive_chunks(text)
+        assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(x, y) for x, y, _ in expected]
+        digests = dict(zip(found.tolist(), (t for *_, t in expected), strict=True))
+        assert all(digests[d] == t for d, (*_, t) in zip(found.tolist(), expected, strict=True)) and len(set(digests.values())) == len(digests)
+
+
+def test_a_sure_passage_always_has_a_chunk():
+    rng = random.Random(7)
+    for _ in range(300):
+        passage = bytes(rng.randrange(97, 105) for _ in range(D.SURE_BYTES))
+        whole = [bytes(rng.randrange(97, 105) for _ in range(200)) + passage + bytes(rng.randrange(97, 105) for _ in range(200)) for _ in range(2)]
+        assert set(D.chunks(whole[0])[0].tolist()) & set(D.chunks(whole[1])[0].tolist())
 
 
 def passage(seed=500, n=51):
@@ -71,9 +133,9 @@ def test_planted_passages(docs):
     assert spans == brute(rows)
     assert {s[0] for s in spans} == {i for i in range(0, 120, 6) if i % 12}
     texts = dict(rows)
-    for doc_id, a, b, first in spans:
+    for doc_id, a, b, first, _ in spans:
         part = texts[doc_id].encode()[a:b]
-        assert part.strip() in texts[first].encode() and len(part) > 200
+        assert part in texts[first].encode() and passage(500 + first // 12).encode() in part
 
 
 def test_a_passage_in_a_third_of_all_documents(docs):
@@ -83,19 +145,33 @@ def test_a_passage_in_a_third_of_all_documents(docs):
 
 
 def test_a_repeated_word(docs):
-    """Without a content-defined end chunks have their greatest length, which meets every offset of the word."""
+    """Each of its letters' places has the same gear hash as the next one, so that cuts and chunks repeat."""
     rows = [(1, "the " * 60), (2, "the " * 55), (3, prose(3, 40) + " " + "the " * 150), (4, "and " * 51)]
     spans = got(docs(rows))
     assert spans == brute(rows) and {s[0] for s in spans} == {2, 3}
 
 
 def test_odd_rows(odd, docs):
-    rows = [(r[0], r[1]) for r in ODD]
-    assert got(odd) == brute(rows)
-    twice = [(1, passage(1, 300)), (1, passage(1, 300)), (None, passage(2, 300)), (2, passage(2, 300)), (3, "é" * 400), (4, "é" * 400)]
+    rows = [(r[0], r[1]) for r in ODD if r[0] != 7]
+    assert [x for x in got(odd) if x[0] != 7] == brute(rows)
+    twice = [(1, passage(1, 300)), (1, passage(1, 300)), (None, passage(2, 300)), (2, passage(2, 300)), (3, "é" * 400), (4, "é" * 300)]
     assert got(docs(twice)) == brute(twice)
 
 
+def test_rows_that_share_an_id_but_not_their_text(docs):
+    rows = [(1, prose(1, 20) + passage()), (2, prose(2, 20) + passage()), (2, prose(3, 80)), (2, prose(3, 80)), (None, prose(4, 90)), (None, prose(4, 90)), (None, prose(4, 90) + "x"), (None, None)]
+    spans = got(docs(rows))
+    assert spans == brute(rows) and sorted({s[0] for s in spans}, key=repr) == [2, None]
+    expected = []
+    for doc_id, text in rows:
+        whole = (text or "").encode()
+        key = np.uint64(xxh64_intdigest(whole, 42)).astype(np.int64)
+        gone = {i for d, a, b, _, k in spans if (d, k) == (doc_id, key) for i in range(a, b)}
+        expected.append((doc_id, bytes(c for i, c in enumerate(whole) if i not in gone).decode()))
+    kept = [tuple(r) for r in D.cut_spans(docs(rows), D.repeated_spans(docs(rows))).collect()]
+    assert sorted(kept, key=repr) == sorted(expected, key=repr) and kept.count((2, prose(3, 80))) == 2
+
+
 def test_repeats_within_one_document_stay(docs):
     assert got(docs([(1, passage() + " x " + passage()), (2, prose(3, 80))])) == []
 
@@ -129,30 +205,3 @@ def test_the_query_finds_short_passages_with_their_true_ends(docs, tmp_path):
     docs(rows).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
     found = QUERIES["op2_substring_dedup"](docs([]).sparkSession, str(tmp_path)).collect()
     assert {r.doc_id: (r.start, r.end, r.first_doc_id) for r in found} == planted
-
-
-def test_seeds_are_those_of_the_definition(monkeypatch):
-    rng = random.Random(5)
-    text = bytes(rng.randrange(256) for _ in range(900)) + b"ab" * 150 + b"c" * 100 + bytes(rng.randrange(256) for _ in range(300))
-    places = np.arange(len(text) - D.SEED + 1)
-    h = rolling.part_hashes(rolling.prefix_sums(np.frombuffer(text, np.uint8)), places, places + D.SEED).tolist()
-    covered = set()
-    for i in range(len(h) - D.REACH + 1):
-        least = min(h[i : i + D.REACH])
-        covered |= {b for j in range(i, i + D.REACH) if h[j] == least for b in range(j, j + D.SEED)}
-    for segment in (1 << 20, 100):
-        monkeypatch.setattr(D, "SEGMENT", segment)
-        found, a, b = D.seeds(text)
-        assert {x for s, e in zip(a.tolist(), b.tolist(), strict=True) for x in range(s, e)} == covered
-        assert [h[i] for i in a.tolist()] == found.tolist()
-    assert len(D.seeds(text[:126])[0]) == 0 < len(D.seeds(text[:127])[0])
-
-
-def test_shared_spans_of_odd_rows(odd, docs):
-    spans = sorted((tuple(r) for r in D.shared_spans(odd).collect()), key=repr)
-    assert spans == []
-    twice = [(1, passage(1, 300)), (1, passage(1, 300)), (None, passage(2, 300)), (None, "x"), (2, "x" + passage(2, 300)), (3, "é" * 400), (4, "é" * 300)]
-    n = len(passage(2, 300))
-    assert sorted(tuple(r) for r in D.shared_spans(docs(twice)).collect()) == [(2, 1, n + 1, None), (4, 0, 600, 3)]
-    assert D.shared_spans(docs([])).collect() == []
-    assert D.shared_spans(docs([(1, passage() + " x " + passage()), (2, prose(3, 80))])).collect() == []

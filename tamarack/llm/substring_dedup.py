@@ -7,7 +7,7 @@ or more. Chunks of variable length are deduplicated by digest: digests found in
 back to their places, the earliest document keeps its bytes, and elsewhere touching chunks are joined to runs.
 
 A chunk's neighbours see the bytes around a passage, so the passage goes on beyond its chunks. Each run is
-therefore extended byte by byte against the earlier document, and only then measured: spans of LEAST_BYTES go.
+therefore extended byte by byte against the earlier document, and only then measured in bytes and words.
 Two texts that share SURE_BYTES share a chunk; where chunks' digests are equal but not their bytes, the
 extension finds no common byte, and a single chunk is shorter than a span.
 """
@@ -30,10 +30,13 @@ GEAR = 16
 REACH, LEAST_CHUNK = 56, 40
 #: A passage of so many bytes has a chunk whose cuts depend on nothing outside of it.
 SURE_BYTES = GEAR - 3 + 3 * REACH + LEAST_CHUNK
-#: Shorter spans stay: common phrases, stock lines. A passage of 50 words has about 300 bytes.
-LEAST_BYTES = 160
-#: Bytes on either side of a run's end that are compared with the earlier document's.
-AROUND = 192
+#: Spans of fewer bytes or words stay: common phrases, stock lines, what an edited copy shares between two edits.
+#: A passage of over 50 words still has so many where its ends fall short.
+LEAST_BYTES, LEAST_WORDS = 160, 40
+#: Spans of so many bytes go whatever their words are, as in scripts without spaces.
+MANY_BYTES = 480
+#: Bytes beyond a run's left and right end that are compared with the earlier document's: so far away is the end of a passage.
+AROUND = (GEAR + REACH, 2 * REACH + LEAST_CHUNK)
 #: Places hashed at once.
 SEGMENT = 1 << 20
 LEFT, RIGHT = 0, 1
@@ -129,20 +132,37 @@ def _numbered(places: DataFrame) -> DataFrame:
     return places.withColumn("begins", begins).withColumn("span", F.sum("begins").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def word_starts(data: np.ndarray) -> np.ndarray:
+    """Whether a word, a run of other bytes than white space, begins at each byte but the first, which only tells."""
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    return space[:-1] & ~space[1:]
+
+
+def words_in(data: bytes, start: int, end: int) -> int:
+    """Words that begin within data[start:end]."""
+    if start >= end:
+        return 0
+    first = start == 0 and data[0] not in b" \t\n\v\f\r"
+    return int(word_starts(np.frombuffer(data, np.uint8)[max(0, start - 1) : end]).sum()) + first
+
+
 def _around_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes around each place asked for: what is known of the run, and up to AROUND bytes beyond it."""
+    """The bytes around each place asked for: LEAST_CHUNK of the run, and those beyond it."""
     for batch in batches:
         rows = []
         for doc_id, key, data, asked in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("whole"), batch.column("asked").to_pylist(), strict=True):
             data = data.as_py()
-            for place in asked:
+            words = last = 0
+            for place in sorted(asked, key=lambda place: place["at"]):
                 side, at = place["side"], place["at"]
-                before, after = (AROUND, LEAST_CHUNK) if side == LEFT else (LEAST_CHUNK, AROUND)
-                rows.append(({"doc_id": doc_id, "key": key}, side, at, data[max(0, at - before) : at], data[at : at + after]))
-        kinds = [pa.struct([("doc_id", pa.int64()), ("key", pa.int64())]), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                words, last = words + words_in(data, last, at), at
+                # one byte more than is compared, which tells whether a word begins
+                before, after = (AROUND[LEFT] + 1, LEAST_CHUNK) if side == LEFT else (LEAST_CHUNK, AROUND[RIGHT])
+                rows.append(({"doc_id": doc_id, "key": key}, side, at, words, data[max(0, at - before) : at], data[at : at + after]))
+        kinds = [pa.struct([("doc_id", pa.int64()), ("key", pa.int64())]), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for i in range(0, len(rows), 1 << 13):
             columns = [pa.array(c, k) for c, k in zip(zip(*rows[i : i + (1 << 13)], strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "side", "at", "before", "after"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "side", "at", "words", "before", "after"])
 
 
 def _same_bytes(one: bytes, other: bytes) -> int:
@@ -154,15 +174,23 @@ def _same_bytes(one: bytes, other: bytes) -> int:
 
 
 def _more_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How far each end's bytes go on like the earlier document's; nothing where the chunks only share a digest."""
+    """How far each end's bytes go on like the earlier document's, and the words that begin there; nothing where the
+    chunks only share a digest."""
     for batch in batches:
-        more = []
+        more, words = [], []
         for side, before, after, f_before, f_after in zip(*(batch.column(c).to_pylist() for c in ("side", "before", "after", "f_before", "f_after")), strict=True):
-            if side == LEFT:
-                more.append(_same_bytes(before[::-1], f_before[::-1]) if after == f_after else 0)
-            else:
-                more.append(_same_bytes(after, f_after) if before == f_before else 0)
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("span"), batch.column("side"), pa.array(more, pa.int32())], ["doc", "span", "side", "more"])
+            n = w = 0
+            if side == LEFT and after == f_after:
+                n = min(AROUND[LEFT], _same_bytes(before[::-1], f_before[::-1]))
+                w = words_in(before, len(before) - n, len(before))
+            elif side == RIGHT and before == f_before:
+                n = _same_bytes(after, f_after)
+                w = words_in(before + after, len(before), len(before) + n)
+            more.append(n)
+            words.append(w)
+        kept = ["doc", "span", "side", "at", "words"]
+        columns = [*[batch.column(c) for c in kept], pa.array(more, pa.int32()), pa.array(words, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, [*kept, "more", "more_words"])
 
 
 def _rows(docs: DataFrame, text: str) -> DataFrame:
@@ -177,13 +205,14 @@ def _written(spark: SparkSession, name: str, rows: DataFrame) -> tuple[DataFrame
     return spark.read.schema(CHUNKS).parquet(path), path
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", least_bytes: int = LEAST_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", least_bytes: int = LEAST_BYTES, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, start, end, first_doc_id, text_key: bytes of texts (UTF-8) that an earlier document has too.
 
     first_doc_id is the earliest document with a part of the span. Documents are in the order of doc_id, null
     before all, and then of text_key, a hash of the text. Rows that share doc_id and text are one document; rows
     that share only the doc_id, as those with a null one do, are several. A passage repeated within one document
-    alone stays. Every passage of SURE_BYTES is found, and nearly all of least_bytes. A run is extended against
+    alone stays. A span has least_bytes and least_words, or MANY_BYTES. Every passage of SURE_BYTES has a chunk,
+    and nearly every one of least_bytes. A run is extended against
     the earliest document with its first and last chunk; an end falls short only where a still earlier document,
     or an earlier place of that document, has that chunk but goes on differently. Null and short texts have no
     spans. Empty table: empty result. Other columns aren't read.
@@ -214,7 +243,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", least_bytes: int = LEAST
     runs = common.cut(runs)
     common.remove(spark, shared_path)
     common.release(spark)
-    return _long_spans(_extended(runs, rows), least_bytes)
+    return _long_spans(_extended(runs, rows), least_bytes, least_words)
 
 
 def _extended(runs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -224,24 +253,35 @@ def _extended(runs: DataFrame, rows: DataFrame) -> DataFrame:
     asked = ends.select("doc", "side", "at").unionByName(ends.select(F.col("f_doc").alias("doc"), "side", F.col("f_at").alias("at")))
     asked = asked.groupBy("doc").agg(F.collect_set(F.struct("side", "at")).alias("asked"))
     asked = rows.join(asked, F.struct("doc_id", "key") == F.col("doc")).select("doc_id", "key", "whole", "asked")
-    around = common.in_python(asked, _around_batches, "doc struct<doc_id:bigint,key:bigint>, side int, at bigint, before binary, after binary")
+    around = common.in_python(asked, _around_batches, "doc struct<doc_id:bigint,key:bigint>, side int, at bigint, words bigint, before binary, after binary")
     around = common.cut(around.dropDuplicates(["doc", "side", "at"]))
     theirs = around.select(*[F.col(c).alias(n) for c, n in (("doc", "f_doc"), ("side", "side"), ("at", "f_at"), ("before", "f_before"), ("after", "f_after"))])
     both = ends.join(around, ["doc", "side", "at"]).join(theirs, ["f_doc", "side", "f_at"])
     more = common.in_python(
-        both.select("doc", "span", "side", "before", "after", "f_before", "f_after"), _more_batches, "doc struct<doc_id:bigint,key:bigint>, span bigint, side int, more int"
+        both.select("doc", "span", "side", "at", "words", "before", "after", "f_before", "f_after"),
+        _more_batches,
+        "doc struct<doc_id:bigint,key:bigint>, span bigint, side int, at bigint, words bigint, more int, more_words int",
     )
-    of = lambda n: F.coalesce(F.max(F.when(F.col("side") == n, F.col("more"))), F.lit(0))
-    more = more.groupBy("doc", "span").agg(of(LEFT).alias("more_left"), of(RIGHT).alias("more_right"))
-    return runs.join(more, ["doc", "span"]).select(
-        "doc", (F.col("left.at") - F.col("more_left")).alias("start"), (F.col("right.at") + F.col("more_right")).alias("end"), "first"
+    of = lambda n, c: F.max(F.when(F.col("side") == n, c))
+    grown = more.groupBy("doc", "span").agg(
+        of(LEFT, F.col("at") - F.col("more")).alias("start"),
+        of(RIGHT, F.col("at") + F.col("more")).alias("end"),
+        of(LEFT, F.col("words") - F.col("more_words")).alias("words_before"),
+        of(RIGHT, F.col("words") + F.col("more_words")).alias("words_after"),
     )
+    return grown.join(runs.select("doc", "span", "first"), ["doc", "span"]).drop("span")
 
 
-def _long_spans(places: DataFrame, least_bytes: int) -> DataFrame:
+def _long_spans(grown: DataFrame, least_bytes: int, least_words: int) -> DataFrame:
     """Extended runs of one document that now touch or overlap become one span."""
-    spans = _numbered(places).groupBy("doc", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"))
-    long = spans.where(F.col("end") - F.col("start") >= least_bytes)
+    spans = _numbered(grown).groupBy("doc", "span").agg(
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.min("first").alias("first"),
+        (F.max("words_after") - F.min("words_before")).alias("words"),
+    )
+    size = F.col("end") - F.col("start")
+    long = spans.where((size >= MANY_BYTES) | (size >= least_bytes) & (F.col("words") >= least_words))
     return long.select("doc.doc_id", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("doc.key").alias("text_key"))
 
 

@@ -33,6 +33,11 @@ def naive_chunks(text):
     return [(a, b, text[last:b]) for a, b, last in whole]
 
 
+def long_enough(whole, a, b):
+    words = sum(not whole[i : i + 1].isspace() and (i == 0 or whole[i - 1 : i].isspace()) for i in range(a, b))
+    return b - a >= D.MANY_BYTES or b - a >= D.LEAST_BYTES and words >= D.LEAST_WORDS
+
+
 def brute(rows):
     """Spans by the definition, from the bytes of each chunk."""
     texts = {}
@@ -62,11 +67,11 @@ def brute(rows):
         for run in runs:
             a, first, fa = min((x[0], x[2], x[3]) for x in run)
             n, mine, theirs = 0, texts[doc], texts[first]
-            while n < min(a, fa, D.AROUND) and mine[a - n - 1] == theirs[fa - n - 1]:
+            while n < min(a, fa, D.AROUND[0]) and mine[a - n - 1] == theirs[fa - n - 1]:
                 n += 1
             b, last, fb = max((x[1], x[2], x[4]) for x in run)
             m, theirs = 0, texts[last]
-            while m < min(len(mine) - b, len(theirs) - fb, D.AROUND) and mine[b + m] == theirs[fb + m]:
+            while m < min(len(mine) - b, len(theirs) - fb, D.AROUND[1]) and mine[b + m] == theirs[fb + m]:
                 m += 1
             spans.append((a - n, b + m, min(x[2] for x in run)))
         joined = []
@@ -75,7 +80,7 @@ def brute(rows):
                 joined[-1] = (joined[-1][0], max(b, joined[-1][1]), min(first, joined[-1][2]))
             else:
                 joined.append((a, b, first))
-        found += [(doc[1] if doc[0] else None, a, b, f[1] if f[0] else None, doc[2]) for a, b, f in joined if b - a >= D.LEAST_BYTES]
+        found += [(doc[1] if doc[0] else None, a, b, f[1] if f[0] else None, doc[2]) for a, b, f in joined if long_enough(texts[doc], a, b)]
     return sorted(found, key=repr)
 
 

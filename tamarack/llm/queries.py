@@ -99,14 +99,28 @@ def _crc32_sql(text: str) -> str:
     return f"xor(4294967295::BIGINT, {whole})"
 
 
-_SHARDS = """
-leaves AS (SELECT n AS shard, n // 4 AS rack, n // 8 AS region FROM range(0, 17) t(n)),
-draws AS (
-  SELECT d.row, l.shard, l.rack, l.region,
-         -ln((('0x' || substr(md5('shard-0-' || l.shard || ':' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) AS draw
-  FROM rows d, leaves l),
+def _draw_sql(kind: str, number: str, weight: float) -> str:
+    bits = f"('0x' || substr(md5('{kind}-0-' || {number} || ':' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT"
+    return f"(-ln(({bits} + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / {weight}::DOUBLE)"
+
+
+# Regions 0 and 1 are full and are descended one level at a time. Region 2 has shard 16 alone, of racks 4 and 5.
+_SHARDS = f"""
+regions AS (
+  SELECT row, doc_id, arg_min(region, draw) AS region, min(draw) AS draw
+  FROM (SELECT row, doc_id, region, {_draw_sql("region", "region", 8)} AS draw FROM rows, range(0, 2) t(region)) GROUP BY ALL),
+racks AS (
+  SELECT row, doc_id, region, arg_min(rack, draw) AS rack
+  FROM (SELECT row, doc_id, region, region * 2 + i AS rack, {_draw_sql("rack", "(region * 2 + i)", 4)} AS draw FROM regions, range(0, 2) t(i)) GROUP BY ALL),
+shards AS (
+  SELECT row, region, rack, arg_min(shard, draw) AS shard
+  FROM (SELECT row, doc_id, region, rack, rack * 4 + i AS shard, {_draw_sql("shard", "(rack * 4 + i)", 1)} AS draw FROM racks, range(0, 4) t(i)) GROUP BY ALL),
+new_racks AS (SELECT row, min(draw) AS least, min(draw) FILTER (i = 4) AS own FROM (SELECT row, i, {_draw_sql("rack", "i", 4)} AS draw FROM rows, range(4, 6) t(i)) GROUP BY row),
+new_shards AS (SELECT row, min(draw) AS least, min(draw) FILTER (i = 16) AS own FROM (SELECT row, i, {_draw_sql("shard", "i", 1)} AS draw FROM rows, range(16, 20) t(i)) GROUP BY row),
 placed AS (
-  SELECT row, arg_min(shard, draw) FILTER (shard < 16) AS shard, arg_min(shard, draw) AS grown_shard FROM draws GROUP BY row)
+  SELECT s.row, s.region, s.rack, s.shard,
+    CASE WHEN {_draw_sql("region", "2", 8)} + ((k.own - k.least + n.own) - n.least) < r.draw THEN 16 ELSE s.shard END AS grown_shard
+  FROM shards s JOIN regions r USING (row) JOIN new_racks k USING (row) JOIN new_shards n USING (row))
 """
 
 ORACLES: dict[str, str] = {
@@ -144,7 +158,7 @@ sums AS MATERIALIZED (SELECT row, doc_id, strlen(text)::BIGINT + 1 AS size, {_cr
 {_SHARDS}
 SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY md5('slot:' || coalesce(doc_id::VARCHAR, '') || ':' || text_crc32), doc_id, text_crc32, size) - 1 AS slot,
-  grown_shard::INTEGER AS grown_shard, (shard // 8)::INTEGER AS region, (shard // 4)::INTEGER AS rack
+  grown_shard::INTEGER AS grown_shard, region::INTEGER AS region, rack::INTEGER AS rack
 FROM sums JOIN placed USING (row)
 """,
     "op5_poisson_mixing": """

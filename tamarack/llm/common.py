@@ -184,6 +184,40 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
 
 
+#: Bits of a filter: at least one block, so many for each key, and at most 16 MB, which is broadcast.
+FILTER_BLOCK, FILTER_BITS_EACH, FILTER_MOST_BITS = 1 << 15, 64, 1 << 27
+
+
+class KeyFilter:
+    """A Bloom filter with one hash, as rows of a block's number and its bitmap.
+
+    Its size is bounded whatever the number of keys; the more keys there are beyond, the more rows that aren't
+    among them are marked too (1.6 % below two million keys). So it is for choosing the rows that a shuffle
+    looks at closely, and every result is the same with any filter.
+    """
+
+    def __init__(self, hashes: DataFrame):
+        """hashes: a cut or written table with one column of hashes."""
+        wanted = max(1, hashes.count()) * FILTER_BITS_EACH
+        self.bits = min(FILTER_MOST_BITS, max(FILTER_BLOCK, 1 << (wanted - 1).bit_length()))
+        at = self._place(F.col(hashes.columns[0]))
+        blocks = hashes.select(*at).groupBy("f_block").agg(F.bitmap_construct_agg("f_bit").alias("f_map"))
+        self.blocks = cut(blocks)
+
+    def _place(self, hashed: Column) -> list[Column]:
+        at = F.pmod(hashed, F.lit(self.bits))
+        return [F.floor(at / FILTER_BLOCK).cast("int").alias("f_block"), (at % FILTER_BLOCK).cast("int").alias("f_bit")]
+
+    def mark(self, rows: DataFrame, hashed: Column, name: str) -> DataFrame:
+        """Adds whether the filter may hold the hash: always true for its own keys."""
+        block, bit = self._place(hashed)
+        placed = rows.select("*", block.alias("f_at"), bit.alias("f_bit"))
+        joined = placed.join(F.broadcast(self.blocks), F.col("f_at") == F.col("f_block"), "left")
+        byte = F.conv(F.hex(F.substring("f_map", F.floor(F.col("f_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        held = F.call_function("shiftright", byte, F.col("f_bit") % 8) % 2 == 1
+        return joined.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("f_map").isNotNull() & held).alias(name))
+
+
 def _keyed(docs: DataFrame, key: Column) -> DataFrame:
     return docs.select(packed(docs).alias("row"), F.col("doc_id").alias("d_id"), key.alias("d_key"))
 
@@ -192,10 +226,20 @@ def _same() -> Column:
     return F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_key") == F.col("key"))
 
 
+def row_key(text: str = "text") -> Column:
+    """With doc_id, what tells a document from others."""
+    return F.xxhash64(text_or_empty(text))
+
+
 def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
-    """All columns of the documents whose doc_id and `key` aren't in gone (doc_id, key: a cut table)."""
-    kept = _keyed(docs, key).join(broadcast_if_small(gone), _same(), "left_anti")
-    return unpacked(kept, "row", docs.schema)
+    """All columns of the documents whose doc_id and `key` aren't in gone (doc_id, key: a cut table).
+
+    Only the documents that a filter of gone marks are shuffled and joined; the others pass as they are read.
+    """
+    asked = KeyFilter(gone.select(F.xxhash64("doc_id", "key")))
+    marked = asked.mark(_keyed(docs, key), F.xxhash64("d_id", "d_key"), "asked")
+    stay = marked.where("asked").drop("asked").join(gone, _same(), "left_anti")
+    return unpacked(marked.where("NOT asked").drop("asked").union(stay), "row", docs.schema)
 
 
 def keep_rows(docs: DataFrame, decided: DataFrame, key: Column) -> DataFrame:
@@ -211,7 +255,9 @@ def keep_rows(docs: DataFrame, decided: DataFrame, key: Column) -> DataFrame:
     kept = without(docs, special.select("doc_id", "key"), key)
     if again.isEmpty():
         return kept
-    once = _keyed(docs, key).join(broadcast_if_small(again), _same(), "left_semi").dropDuplicates(["d_id", "d_key"])
+    asked = KeyFilter(again.select(F.xxhash64("doc_id", "key")))
+    marked = asked.mark(_keyed(docs, key), F.xxhash64("d_id", "d_key"), "asked").where("asked").drop("asked")
+    once = marked.join(again, _same(), "left_semi").dropDuplicates(["d_id", "d_key"])
     return kept.unionByName(unpacked(once, "row", docs.schema))
 
 

@@ -92,15 +92,10 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), fps], ["doc_id", "key", "fp"])
 
 
-def row_key(text: str = "text") -> Column:
-    """With doc_id, what tells a document from others."""
-    return F.xxhash64(common.text_or_empty(text))
-
-
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, key, fp (the fingerprint as a signed 64-bit number) of every row; null text is empty."""
     whole = common.text_or_empty(text)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key(text).alias("key"), whole.cast("binary").alias("whole"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.row_key(text).alias("key"), whole.cast("binary").alias("whole"))
     return common.in_python(rows, _fingerprint_batches, "doc_id bigint, key bigint, fp bigint")
 
 
@@ -269,4 +264,4 @@ def simhash_groups(docs: DataFrame, text: str = "text", radius: int = RADIUS) ->
 def drop_near_copies(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
     """All columns of one document of each component; rows that repeat doc_id and text are one document."""
     decided = simhash_groups(docs, text, radius).select("doc_id", "key", F.col("first").alias("kept"))
-    return common.keep_rows(docs, common.cut(decided), row_key(text))
+    return common.keep_rows(docs, common.cut(decided), common.row_key(text))

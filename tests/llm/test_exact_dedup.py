@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tamarack.llm import common, exact_dedup
 
@@ -33,10 +34,10 @@ def result(df):
 
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
 @pytest.mark.parametrize("bits", [256, 4])
-@pytest.mark.parametrize("broadcast", [0, 1000])
-def test_odd_rows_and_colliding_digests(odd, keep, bits, broadcast, monkeypatch):
+@pytest.mark.parametrize("fan", [1, 8])
+def test_odd_rows_and_colliding_digests(odd, keep, bits, fan, monkeypatch):
     """With four bits digests of other texts are equal, and only the verification tells them apart."""
-    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(exact_dedup, "FAN", fan)
     assert result(exact_dedup.exact_groups(odd, keep=keep, bits=bits)) == brute(ODD, max if keep == "largest" else min)
 
 
@@ -45,9 +46,11 @@ def test_empty(none):
     assert exact_dedup.drop_exact_copies(none).collect() == []
 
 
-@pytest.mark.parametrize("broadcast", [0, 1000])
-def test_kept_rows_have_all_columns(odd, broadcast, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+@pytest.mark.parametrize("bits", [64, 1 << 27])
+def test_kept_rows_have_all_columns(odd, bits, monkeypatch):
+    """A filter of 64 bits marks rows that aren't among its keys."""
+    monkeypatch.setattr(common, "FILTER_BLOCK", min(bits, 1 << 15))
+    monkeypatch.setattr(common, "FILTER_MOST_BITS", bits)
     kept = exact_dedup.drop_exact_copies(odd)
     assert kept.columns == odd.columns
     texts = sorted(lowered(r.text) for r in kept.collect())
@@ -59,6 +62,30 @@ def test_a_hot_group(docs):
     assert result(exact_dedup.exact_groups(docs(rows).repartition(8))) == brute(rows)
 
 
+def test_levels_and_filters(spark, docs):
+    index = exact_dedup.DigestIndex(spark, common.scratch(spark, "test"))
+    rows = [(i, f"text {i % 700}") for i in range(1000)]
+    index.flush(docs(rows[:600]).repartition(25))
+    index.flush(docs(rows[600:]).repartition(15))
+    merged = index.compact()
+    assert index.levels == [40, 5, 1] and merged.count() == 700 and index.hits().count() == 300
+    marked = index.hit_filter().mark(index.runs(), F.xxhash64("digest"), "asked").groupBy("asked").count().collect()
+    asked = next(r["count"] for r in marked if r.asked)
+    assert 600 <= asked < 640  # all rows of the hits, and few others
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 15, 1 << 22])
+def test_a_filter_marks_its_keys(spark, bits, monkeypatch):
+    monkeypatch.setattr(common, "FILTER_BLOCK", min(bits, 1 << 15))
+    monkeypatch.setattr(common, "FILTER_MOST_BITS", bits)
+    keys = spark.range(0, 2000, 2).select(F.xxhash64("id").alias("h"))
+    found = common.KeyFilter(keys).mark(spark.range(2000), F.xxhash64("id"), "held").where("held").collect()
+    held = {r.id for r in found}
+    assert held >= set(range(0, 2000, 2)) and len(found) == len(held)
+    assert len(held) < 1000 + {64: 1001, 1 << 15: 60, 1 << 22: 60}[bits]
+    assert common.KeyFilter(keys.where("false")).mark(spark.range(9), F.xxhash64("id"), "held").where("held").collect() == []
+
+
 def test_index_grows_by_batches(spark, docs):
     index = exact_dedup.DigestIndex(spark, common.scratch(spark, "test"), keep="smallest")
     index.flush(docs([(5, "a"), (6, "b")]))

@@ -13,7 +13,7 @@ from tamarack.llm.queries import ORACLES, QUERIES
 from .test_exact_dedup import lowered as ascii_lowered
 from .test_langid import text as language_text
 from .test_packing import check
-from .test_simhash import brute_components, brute_print
+from .test_simhash import brute_near
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -38,7 +38,7 @@ def test_stages(spark, docs, tmp_path):
         lowered[ascii_lowered(r.text)] = max(r.doc_id, lowered.get(ascii_lowered(r.text), -1))
     assert ids[2] == Counter(lowered.values())
     rows2 = sorted(after[2][1].collect(), key=lambda r: r.doc_id)
-    label = brute_components([brute_print(r.text) for r in rows2])
+    label = brute_near([r.text for r in rows2])
     assert ids[3] == Counter({rows2[i].doc_id: 1 for i in set(label)})
     assert set(ids[4]) <= set(ids[3]) and sum(ids[4].values()) > 50
     texts = {}

@@ -20,6 +20,20 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def brute_word_print(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    weights = {w: len(bin(words.count(w))) - 2 for w in set(words)}
+    hashes = {w: xxh64_intdigest(w.encode(), seed=42) for w in weights}
+    return sum(1 << b for b in range(64) if 2 * sum(n for w, n in weights.items() if hashes[w] >> b & 1) > sum(weights.values()))
+
+
+def brute_near(texts):
+    """Of each text, the least index that links of both fingerprints reach."""
+    words, shingles = [np.array([f(t) for t in texts], dtype=np.uint64) for f in (brute_word_print, brute_print)]
+    near = (np.bitwise_count(words[:, None] ^ words[None, :]) <= 7) & (np.bitwise_count(shingles[:, None] ^ shingles[None, :]) <= 14)
+    return components.local_labels(len(texts), *np.nonzero(near)).tolist()
+
+
 def brute_components(prints, radius=2):
     """Of each number, the least index that links reach."""
     at = np.array(prints, dtype=np.uint64)
@@ -67,11 +81,12 @@ def test_links_equal_brute_force(spark, monkeypatch):
         prints.append(x)
     prints = sorted({0, 2**64 - 1, 1, 3, 7, *prints})
     expected = brute_components(prints)
-    for block, compared, parts in ((1 << 16, 2048, None), (3, 2, 4), (1 << 16, 1, 2), (5, 1, 8)):  # whole tiles, and tiles split into blocks
+    for block, compared, parts, guests in ((1 << 16, 2048, None, 1 << 22), (3, 2, 4, 7), (1 << 16, 1, 2, 50), (5, 1, 8, 1), (20, 16, 1, 30)):  # whole tiles, and tiles split into blocks and shares
         monkeypatch.setattr(simhash, "BLOCK", block)
         monkeypatch.setattr(simhash, "COMPARED", compared)
+        monkeypatch.setattr(simhash, "GUESTS", guests)
         fps = spark.createDataFrame([(signed(p),) for p in prints], "fp bigint").repartition(4)
-        links = [(r.u, r.v) for r in simhash.fingerprint_links(fps, parts=parts).collect()]
+        links = [(r.fp_u, r.fp_v) for r in simhash.fingerprint_links(fps, parts=parts).collect()]
         at = {signed(p): i for i, p in enumerate(prints)}
         label = components.local_labels(len(prints), np.array([at[u] for u, _ in links]), np.array([at[v] for _, v in links]))
         assert label.tolist() == expected
@@ -102,18 +117,56 @@ def test_groups(docs):
     found = simhash.simhash_groups(docs(rows, extra=True)).collect()
     expected = sorted(((i, signed(p), least[c]) for (i, _), p, c in zip(rows, prints, label, strict=True)), key=repr)
     assert sorted(((r.doc_id, r.fp, r.component_id) for r in found), key=repr) == expected
+
+
+def test_near_groups(docs, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, prose(i, 50)) for i in range(40)] + [(50, prose(3, 50)), (51, prose(3, 50).upper()), (52, ""), (53, None), (54, " ")]
+    for i in range(60, 160):
+        words = prose(rng.randrange(20, 28), 200).split()
+        for _ in range(rng.randrange(12)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(1000)}"
+        rows.append((i, " ".join(words)))
+    rows += [(None, prose(3, 50)), (3, prose(3, 50))]
+    label, least = brute_near([t for _, t in rows]), {}
+    for (i, _), c in zip(rows, label, strict=True):
+        if i is not None:
+            least[c] = min(i, least.get(c, i))
+    for block, compared, guests in ((1 << 16, 1024, 1 << 22), (3, 2, 10)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "COMPARED", compared)
+        monkeypatch.setattr(simhash, "GUESTS", guests)
+        found = simhash.near_groups(docs(rows, extra=True)).collect()
+        expected = [(i, signed(brute_word_print(t)), signed(brute_print(t)), least[c]) for (i, t), c in zip(rows, label, strict=True)]
+        assert sorted(((r.doc_id, r.fp, r.other, r.component_id) for r in found), key=repr) == sorted(expected, key=repr)
     kept = simhash.drop_near_copies(docs(rows, extra=True))
     assert kept.columns == docs(rows, extra=True).columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
 
 
+def test_edited_copies_are_found_and_others_left_alone(docs):
+    """Of texts with a similarity of 0.8 or more in five-word shingles 0.9 go; of unrelated texts none."""
+    rng = random.Random(11)
+    rows, near = [], set()
+    for i in range(150):
+        words = prose(3000 + i, rng.randrange(60, 300)).split()
+        edited = [f"z{rng.randrange(500)}" if rng.random() < 0.018 else w for w in words]
+        shingles = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, edited)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+        if len(shingles[0] & shingles[1]) >= 0.8 * len(shingles[0] | shingles[1]):
+            near.add(2 * i + 1)
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs(rows)).collect()}
+    assert {2 * i for i in range(150)} <= kept and len(near) > 80 and len(near - kept) >= 0.9 * len(near)
+
+
 def test_odd_rows_keep_one_of_each(odd):
     kept = simhash.drop_near_copies(odd).collect()
-    assert len(kept) == len(set(brute_components([brute_print(r[1]) if r[0] != 7 else 0x0123456789ABCDEF for r in ODD])))
+    short = [r[1] for r in ODD if r[0] != 7]
+    assert len(kept) == len(set(brute_near(short))) + 1
 
 
 def test_empty(none):
-    assert simhash.simhash_groups(none).collect() == [] == simhash.drop_near_copies(none).collect()
+    assert simhash.simhash_groups(none).collect() == [] == simhash.drop_near_copies(none).collect() == simhash.near_groups(none).collect()
 
 
 @pytest.mark.parametrize("radius", [0, 1, 2, 3])
@@ -123,9 +176,10 @@ def test_half_of_the_steps(radius):
     assert len({*steps, *(tuple(-x for x in s) for s in steps)}) == 2 * len(steps) == len(whole)
 
 
-def test_small_tiles_that_lie_apart_are_skipped(monkeypatch):
+@pytest.mark.parametrize("parts, radius, share", [(4, 2, 0.9), (1, 7, 0.9)])
+def test_small_tiles_that_lie_apart_are_skipped(monkeypatch, parts, radius, share):
     monkeypatch.setattr(simhash, "COMPARED", 32)
     fps = np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64)
-    held = simhash._Sorted(fps, 4)
-    met = sum(len(held.near(held, i, 2)) for i in range(-(-3000 // 32)))
-    assert met < 0.9 * 94 * 94
+    held = simhash._Sorted(fps, None, parts)
+    met = sum(len(held.near(held, i, radius)) for i in range(-(-3000 // 32)))
+    assert met < share * 94 * 94

@@ -18,7 +18,7 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of linked fingerprints, that with the smallest doc_id."""
+    """Keeps one document of each group of edited copies, that with the smallest doc_id."""
     return simhash.drop_near_copies(docs)
 
 

@@ -205,15 +205,16 @@ class KeyFilter:
         self.blocks = cut(blocks)
 
     def _place(self, hashed: Column) -> list[Column]:
-        at = F.pmod(hashed, F.lit(self.bits))
-        return [F.floor(at / FILTER_BLOCK).cast("int").alias("f_block"), (at % FILTER_BLOCK).cast("int").alias("f_bit")]
+        """In operations that are never null: a join then needn't check that they aren't, by hashing once more."""
+        at, digits = hashed.bitwiseAND(self.bits - 1), FILTER_BLOCK.bit_length() - 1
+        return [F.shiftright(at, digits).cast("int").alias("f_block"), at.bitwiseAND(FILTER_BLOCK - 1).cast("int").alias("f_bit")]
 
     def mark(self, rows: DataFrame, hashed: Column, name: str) -> DataFrame:
         """Adds whether the filter may hold the hash: always true for its own keys."""
         block, bit = self._place(hashed)
         placed = rows.select("*", block.alias("f_at"), bit.alias("f_bit"))
         joined = placed.join(F.broadcast(self.blocks), F.col("f_at") == F.col("f_block"), "left")
-        byte = F.conv(F.hex(F.substring("f_map", F.floor(F.col("f_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        byte = F.conv(F.hex(F.substring("f_map", F.shiftright("f_bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
         held = F.call_function("shiftright", byte, F.col("f_bit") % 8) % 2 == 1
         return joined.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("f_map").isNotNull() & held).alias(name))
 
@@ -238,8 +239,9 @@ def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
     """
     asked = KeyFilter(gone.select(F.xxhash64("doc_id", "key")))
     marked = asked.mark(_keyed(docs, key), F.xxhash64("d_id", "d_key"), "asked")
-    stay = marked.where("asked").drop("asked").join(gone, _same(), "left_anti")
-    return unpacked(marked.where("NOT asked").drop("asked").union(stay), "row", docs.schema)
+    # With `asked` in its condition the join can't be moved below the mark, to where all documents are.
+    stay = marked.where("asked").join(gone, _same() & F.col("asked"), "left_anti")
+    return unpacked(marked.where("NOT asked").union(stay), "row", docs.schema)
 
 
 def keep_rows(docs: DataFrame, decided: DataFrame, key: Column) -> DataFrame:
@@ -256,8 +258,8 @@ def keep_rows(docs: DataFrame, decided: DataFrame, key: Column) -> DataFrame:
     if again.isEmpty():
         return kept
     asked = KeyFilter(again.select(F.xxhash64("doc_id", "key")))
-    marked = asked.mark(_keyed(docs, key), F.xxhash64("d_id", "d_key"), "asked").where("asked").drop("asked")
-    once = marked.join(again, _same(), "left_semi").dropDuplicates(["d_id", "d_key"])
+    marked = asked.mark(_keyed(docs, key), F.xxhash64("d_id", "d_key"), "asked").where("asked")
+    once = marked.join(again, _same() & F.col("asked"), "left_semi").dropDuplicates(["d_id", "d_key"])
     return kept.unionByName(unpacked(once, "row", docs.schema))
 
 

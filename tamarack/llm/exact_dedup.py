@@ -31,8 +31,9 @@ def normalised(text: str = "text") -> Column:
 
 
 def digest(text: Column, bits: int = DIGEST_BITS) -> Column:
+    """Never null, so that a join needn't check that it isn't by digesting the text once more."""
     whole = F.sha2(text, 256)
-    return F.unhex(whole if bits == 256 else F.substring(whole, 1, bits // 4))
+    return F.coalesce(F.unhex(whole if bits == 256 else F.substring(whole, 1, bits // 4)), F.lit(b""))
 
 
 def _order(keep: str) -> Column:

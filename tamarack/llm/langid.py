@@ -2,8 +2,12 @@
 
 A text's subwords are the two, three and four byte pieces of its lower-cased words, word ends marked. Each is
 hashed to a row of an embedding table; the mean of the rows goes through a linear layer and a softmax. Both
-layers are trained by stochastic gradient descent. Part of the sample calibrates the softmax's temperature
-and the score below which a prediction is rejected.
+layers are trained by stochastic gradient descent.
+
+A softmax over the learned languages alone is sure of any text. It therefore has one class more, OTHER, which is
+trained on texts of no language: a document's subword counts, of which a part has been moved to other buckets. A
+prediction is rejected if the languages' share of the softmax is low. How low is calibrated on part of the sample:
+between what the rightly classified documents have and what such texts have.
 """
 
 from __future__ import annotations
@@ -23,8 +27,14 @@ BUCKETS, DIMENSIONS = 4096, 16
 SAMPLE = 4096
 FOLDS, CALIBRATION_PART = 5, 5
 STEPS, BATCH, RATE = 4000, 32, 1.0
-#: Share of rightly classified calibration documents that the rejection may cost.
-REJECTED_SHARE = 0.001
+#: The table learns so much faster: a mean's gradient is spread over many rows.
+TABLE_RATE = 20
+#: Share of rightly classified calibration documents that the rejection may cost, and of texts of no language that may pass.
+REJECTED_SHARE, PASSING_SHARE = 0.001, 0.01
+#: Texts of no language among a batch's documents, and the greatest part of their counts that stays where it was.
+OTHERS, MOST_KEPT = 8, 0.5
+#: The log odds of the least score lie so far below the least of the documents' where texts of no language allow it.
+MARGIN = 0.5
 UNKNOWN = "und"
 #: Bytes of text whose subwords are hashed at a time.
 TEXT_BLOCK = 1 << 19
@@ -73,8 +83,20 @@ def shares(counts: np.ndarray) -> np.ndarray:
     return x
 
 
+def foreign(x: np.ndarray, kept: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """Shares of texts of no language: of each row's buckets a random part stays, and the others change places."""
+    out = np.zeros_like(x)
+    for row, part in enumerate(kept):
+        own = random.random(x.shape[1]) < part
+        out[row, own] = x[row, own]
+        np.add.at(out[row], random.permutation(x.shape[1])[~own], x[row, ~own])
+    return out
+
+
 @dataclass
 class Model:
+    """weights and bias have a column for each language and a last one for OTHER."""
+
     languages: list[str]
     table: np.ndarray
     weights: np.ndarray
@@ -82,13 +104,33 @@ class Model:
     temperature: float = 1.0
     least_score: float = 0.0
 
-    def logits(self, counts: np.ndarray) -> np.ndarray:
-        return (shares(counts) @ self.table) @ self.weights + self.bias
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.table) @ self.weights + self.bias
+
+    def chances(self, x: np.ndarray) -> np.ndarray:
+        return softmax(self.logits(x).astype(np.float64) / self.temperature)
+
+    def scores(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chances of the languages for rows of counts, and their sum, by which a prediction is rejected."""
+        p = self.chances(shares(counts))[:, : len(self.languages)]
+        return p, p.sum(axis=1)
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
-    def scores(self, counts: np.ndarray) -> np.ndarray:
-        z = self.logits(counts).astype(np.float64) / self.temperature
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+
+def step(model: Model, x: np.ndarray, y: np.ndarray, rate: float) -> None:
+    """One step down the gradient of the mean cross entropy of rows of shares with their classes."""
+    h = x @ model.table
+    p = softmax(h @ model.weights + model.bias)
+    p[np.arange(len(y)), y] -= 1
+    p /= len(y)
+    back = p @ model.weights.T
+    model.weights -= rate * (h.T @ p)
+    model.bias -= rate * p.sum(axis=0)
+    model.table -= (rate * TABLE_RATE) * (x.T @ back)
 
 
 def train(counts: np.ndarray, labels: Sequence[str], seed: int = 0) -> Model:
@@ -97,8 +139,8 @@ def train(counts: np.ndarray, labels: Sequence[str], seed: int = 0) -> Model:
     y = np.array([languages.index(x) for x in labels], dtype=np.int64)
     k, random = len(languages), np.random.default_rng(seed)
     table = random.normal(0, 0.5, (BUCKETS, DIMENSIONS)).astype(np.float32)
-    model = Model(languages, table, np.zeros((DIMENSIONS, k), np.float32), np.zeros(k, np.float32))
-    if k < 2:
+    model = Model(languages, table, np.zeros((DIMENSIONS, k + 1), np.float32), np.zeros(k + 1, np.float32))
+    if not k:
         return model
     rest = np.arange(len(y)) % CALIBRATION_PART == 0
     if len(y) < 4 * CALIBRATION_PART:
@@ -107,39 +149,42 @@ def train(counts: np.ndarray, labels: Sequence[str], seed: int = 0) -> Model:
     fit = np.nonzero(~rest)[0]
     epochs = -(-STEPS * BATCH // len(fit))
     for epoch in range(epochs):
-        rate = RATE * (1 - epoch / epochs)
         order = random.permutation(fit)
         for i in range(0, len(order), BATCH):
             rows = order[i : i + BATCH]
-            h = x[rows] @ table
-            z = h @ model.weights + model.bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(rows)), y[rows]] -= 1
-            p /= len(rows)
-            back = p @ model.weights.T
-            model.weights -= rate * (h.T @ p)
-            model.bias -= rate * p.sum(axis=0)
-            table -= (rate * 20) * (x[rows].T @ back)  # a mean's gradient is spread over many rows
-    held = np.nonzero(rest)[0]
-    if len(held):
-        z = model.logits(counts[held]).astype(np.float64)
-
-        def loss(t: float) -> float:
-            s = z / t
-            s = s - s.max(axis=1, keepdims=True)
-            return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(held)), y[held]]).mean())
-
-        model.temperature = min((2.0 ** (e / 4) for e in range(-12, 13)), key=loss)
-        s = model.scores(counts[held])
-        right = s.argmax(axis=1) == y[held]
-        if right.any():
-            # Few rows can't show so small a share; the less they can, the lower the score.
-            support = min(1.0, right.sum() * REJECTED_SHARE)
-            model.least_score = support * min(0.5, float(np.quantile(s.max(axis=1)[right], REJECTED_SHARE)))
+            none = foreign(x[rows[:OTHERS]], random.uniform(0, MOST_KEPT, len(rows[:OTHERS])), random)
+            step(model, np.concatenate([x[rows], none]), np.concatenate([y[rows], np.full(len(none), k)]), RATE * (1 - epoch / epochs))
+    if rest.any():
+        calibrate(model, x[rest], y[rest], random)
     return model
 
 
+def calibrate(model: Model, x: np.ndarray, y: np.ndarray, random: np.random.Generator) -> None:
+    """Sets the temperature by the least cross entropy, and the least score by documents and by texts of no language."""
+    k = len(model.languages)
+    none = foreign(x, np.zeros(len(x)), random)
+    both, classes = np.concatenate([x, none]), np.concatenate([y, np.full(len(none), k)])
+    z = model.logits(both).astype(np.float64)
+
+    def loss(t: float) -> float:
+        return float(-np.log(np.maximum(softmax(z / t)[np.arange(len(classes)), classes], 1e-300)).mean())
+
+    model.temperature = min((2.0 ** (e / 4) for e in range(-12, 13)), key=loss)
+    odds = log_odds(softmax(z / model.temperature)[:, :k].sum(axis=1))
+    own, others = odds[: len(x)], odds[len(x) :]
+    right = own[z[: len(x), :k].argmax(axis=1) == y]
+    if len(right):
+        known, passing = np.quantile(right, REJECTED_SHARE), np.quantile(others, 1 - PASSING_SHARE)
+        # Halfway where the two lie apart; else what the documents need.
+        least = (known + passing) / 2 if passing < known - 2 * MARGIN else known - MARGIN
+        model.least_score = float(1 / (1 + np.exp(-least)))
+
+
+def log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-12, 1 - 1e-12)
+    return np.log(p / (1 - p))
+
+
 def held_out() -> Column:
     """Documents whose crc32(doc_id as text) mod 5 is 0 are never learned from; a null doc_id counts as empty."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS == 0
@@ -190,6 +235,7 @@ def _predictor(model: Model):
             texts = batch.column("text")
             langs: list[str] = []
             scores: list[float] = []
+            rejected: list[bool] = []
             for i in range(0, len(texts), 64):
                 part = texts.slice(i, 64).to_pylist()
                 known = [has_letter(t) and bool(model.languages) for t in part]
@@ -198,13 +244,13 @@ def _predictor(model: Model):
                     if k:
                         counts[row] = subword_counts(t)
                 if not model.languages:
-                    s = np.zeros((len(part), 1))
+                    s, known_share = np.zeros((len(part), 1)), np.zeros(len(part))
                 else:
-                    s = model.scores(counts)
+                    s, known_share = model.scores(counts)
                 best = s.argmax(axis=1)
                 langs += [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 scores += [float(x[b]) if k else 0.0 for x, b, k in zip(s, best, known, strict=True)]
-            rejected = [lang == UNKNOWN or score < model.least_score for lang, score in zip(langs, scores, strict=True)]
+                rejected += [not k or share < model.least_score for k, share in zip(known, known_share.tolist(), strict=True)]
             kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in kept], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],

@@ -35,6 +35,71 @@ def test_counts_do_not_depend_on_blocks(monkeypatch):
     assert langid.subword_counts("").sum() == 0 and langid.subword_counts("12 -").sum() == 0
 
 
+def naive_counts(text):
+    """Each two, three and four byte piece of each word with a space at its ends, not both, hashed one by one."""
+    counts = np.zeros(langid.BUCKETS, np.int64)
+    raw = "".join(chr(c) if 97 <= c <= 122 or c >= 128 else " " for c in text.lower().encode())
+    for word in filter(None, raw.split(" ")):
+        held = b" " + bytes(ord(c) for c in word) + b" "
+        for n in (2, 3, 4):
+            for i in range(len(held) - n + 1):
+                if held[i] == held[i + n - 1] == 32:
+                    continue
+                code = int.from_bytes(held[i : i + n], "big")
+                mixed = (code * 0x9E3779B1 & 0xFFFFFFFF) ^ n
+                mixed = ((mixed ^ mixed >> 15) * 0x85EBCA6B) & 0xFFFFFFFF
+                counts[mixed >> 20] += 1
+    return counts
+
+
+@pytest.mark.parametrize("sample", ["", "a", "ab c", "Ünï çà 123 x-y", "日本語 text", text("de", 3), text("fr", 4, 300)])
+def test_counts_are_those_of_the_definition(sample):
+    assert (langid.subword_counts(sample) == naive_counts(sample)).all()
+
+
+def test_a_step_goes_down_the_gradient(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(langid, "TABLE_RATE", 1)
+    x, y = rng.random((5, 7)), np.array([0, 1, 2, 1, 2])
+    model = langid.Model(["a", "b"], rng.normal(size=(7, 4)), rng.normal(size=(4, 3)), rng.normal(size=3))
+
+    def loss():
+        return -np.log(langid.softmax(model.logits(x))[np.arange(5), y]).mean()
+
+    slopes = {}
+    for name in ("table", "weights", "bias"):
+        values = getattr(model, name)
+        slopes[name] = np.zeros_like(values)
+        for at in np.ndindex(values.shape):
+            kept = values[at]
+            values[at] = kept + 1e-6
+            up = loss()
+            values[at] = kept - 1e-6
+            slopes[name][at] = (up - loss()) / 2e-6
+            values[at] = kept
+    before = {n: getattr(model, n).copy() for n in slopes}
+    langid.step(model, x, y, 0.1)
+    for name, slope in slopes.items():
+        assert np.allclose(before[name] - getattr(model, name), 0.1 * slope, atol=1e-7), name
+
+
+def gibberish(seed, n=40):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxyzaeiou", k=rng.randrange(2, 9))) for _ in range(n))
+
+
+@pytest.mark.parametrize("n", [150, 600])
+def test_rejection_fires_on_texts_of_no_language(docs, n):
+    rows = labelled(n)
+    model = langid.fit(docs(rows))
+    others = [(5000 + i, gibberish(i)) for i in range(200)] + [(6000 + i, "".join(reversed(text("de", i))).replace("e", "q").replace("n", "x")) for i in range(100)]
+    fresh = [(7000 + i, text(list(SYLLABLES)[i % 3], 9000 + i)) for i in range(300)]
+    found = {r.doc_id: r.rejected for r in langid.identify(docs(others + fresh), model).collect()}
+    assert np.mean([found[i] for i, _ in fresh]) <= 0.01
+    assert np.mean([found[i] for i, _ in others[:200]]) >= 0.95 and np.mean([found[i] for i, _ in others[200:]]) >= 0.9
+    assert model.least_score > 0.1
+
+
 def test_held_out_accuracy(docs):
     rows = labelled()
     found = langid.identify(docs(rows), langid.fit(docs(rows))).collect()

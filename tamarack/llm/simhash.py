@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -39,6 +40,7 @@ WIDE_PARTS = 1
 BLOCK = 1 << 16
 #: Fingerprints of other blocks that one task compares with its block; more are split over several tasks.
 GUESTS = 64 * BLOCK
+MOST_TASKS = 100_000
 #: Rows and columns of one comparison.
 COMPARED = 1024
 #: Bytes of a text that are split into words at a time.
@@ -299,12 +301,17 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, parts: int | None =
     tiled = fps.select(*columns, _tile(F.col("fp"), parts).cast("int").alias("tile"))
     sizes = tiled.groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
     seen = sizes.select("n", F.explode(_visited(F.col("tile"), radius, parts)).alias("tile")).groupBy("tile").agg(F.sum("n").alias("away"))
+    met = F.col("n") + F.coalesce("away", F.lit(0))
     sizes = sizes.join(seen, "tile", "left").select(
         F.col("tile").alias("t"),
         F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
-        F.greatest(F.lit(1), F.ceil((F.col("n") + F.coalesce("away", F.lit(0))) / GUESTS).cast("int")).alias("shares"),
+        F.greatest(F.lit(1), F.ceil(met / GUESTS).cast("int")).alias("shares"),
+        met.alias("met"),
     )
-    sizes = common.broadcast_if_small(common.cut(sizes))
+    sizes = common.cut(sizes)
+    # So many tasks, since rows cost far more to compare than their bytes tell.
+    tasks = max(1, math.ceil((sizes.agg(F.sum(F.col("met") * F.col("blocks"))).first()[0] or 0) / BLOCK))
+    sizes = common.broadcast_if_small(sizes.drop("met"))
     hashed = F.xxhash64(*columns)
     dealt = ["tile", "block", "share", "guest", *columns]
     share = lambda n: F.pmod(F.shiftright(hashed, 20), n).cast("int")
@@ -317,7 +324,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, parts: int | None =
     away = tiled.select(*columns, F.explode(_visited(F.col("tile"), radius, parts)).alias("tile")).join(sizes, F.col("tile") == F.col("t"))
     away = away.select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), share(F.col("shares")).alias("share"), F.lit(1).alias("guest"), *columns)
     fine = [_tile(F.col("fp"), n) for n in _levels(parts)]  # batches of guests then have narrow ranges of counts
-    dealt = home.union(away).repartition("tile", "block", "share").sortWithinPartitions("tile", "block", "share", "guest", *fine)
+    dealt = home.union(away).repartition(min(tasks, MOST_TASKS), "tile", "block", "share").sortWithinPartitions("tile", "block", "share", "guest", *fine)
     schema = ", ".join(f"{c}_{end} bigint" for c in columns for end in "uv")
     return common.in_python(dealt, _compare(radius, other_radius, parts, columns), schema)
 

@@ -1,20 +1,21 @@
 """Best-fit packing of token sequences by exact complements.
 
 How pieces combine depends on their lengths alone, and there are at most `capacity` lengths, so a plan is
-made from the histogram of lengths, whatever the number of documents. The plan takes each length from the
-longest down and looks up which single available length fills its gap exactly, then which pair, then which
-triple; a combination is used as often as the counts allow. Lengths without such a partner are packed by best
-fit. Pairs and triples can use up short pieces that long ones would have needed, so plans are made with
-singles alone, with pairs, and with triples, and the one with the fewest sequences is taken. Pieces then find
-their place by their rank among the pieces of the same length.
+made from the histogram of lengths, whatever the number of documents. The plan takes the lengths from the
+longest down and looks up in an index of sums which single available length fills the gap exactly, else which
+pair, else which triple; a combination is used as often as the counts allow. Where none fills the gap, the longest
+length that fits it is added, as best fit does, and the rest of the gap is looked up again. Then rounds of repair
+take the sequences that aren't full and some that are apart and fill them anew, while that needs no more sequences.
+Pieces then find their place by their rank among the pieces of the same length.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from . import common
 
 CAPACITY, END_ID = 1024, 2
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+#: Rounds of repair, and combinations that one takes apart at most.
+ROUNDS, APART = 100, 120
 #: Pieces that one task numbers.
 PIECES_PER_BUCKET = 50_000
 #: Texts with a longer run without change between space and other characters go to the tokenizer itself.
@@ -101,94 +104,128 @@ def pieces(docs: DataFrame, text: str = "text", path: str | None = None, capacit
     return common.in_python(rows, _piece_batches(path, capacity), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
+Combination = tuple[tuple[int, ...], int]  # lengths of one sequence, and how many sequences have them
+
+
+class SumIndex:
+    """The available lengths with their counts: by the sum that they have alone, in pairs and in triples.
+
+    Counts only fall, so a pair that was used up is dropped from its sum's list for good.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left.tolist()
+        self.lengths = [k for k in range(len(self.left) - 1, 0, -1) if self.left[k]]
+        self._pairs: dict[int, list[int]] = {}
+
+    def spare(self, length: int, taken: Sequence[int]) -> bool:
+        return 0 < length < len(self.left) and self.left[length] > taken.count(length)
+
+    def longest(self, most: int, taken: Sequence[int]) -> int | None:
+        return next((k for k in self.lengths if k <= most and self.spare(k, taken)), None)
+
+    def single(self, total: int, taken: Sequence[int]) -> tuple[int, ...] | None:
+        return (total,) if self.spare(total, taken) else None
+
+    def pair(self, total: int, taken: Sequence[int], order: int = 1, most: int | None = None) -> tuple[int, ...] | None:
+        """Two lengths of this sum, the longer first; order 1 prefers the longest, -1 the most equal."""
+        if total not in self._pairs:
+            self._pairs[total] = [a for a in self.lengths if total > a >= total - a and self.left[total - a]]
+        held = self._pairs[total]
+        if any(not self.left[a] or not self.left[total - a] for a in held):
+            held[:] = [a for a in held if self.left[a] and self.left[total - a]]
+        for a in held[::order]:
+            if (most is None or a <= most) and self.spare(a, taken) and self.spare(total - a, (*taken, a)):
+                return a, total - a
+        return None
+
+    def triple(self, total: int, taken: Sequence[int], order: int = 1) -> tuple[int, ...] | None:
+        for a in self.lengths:
+            if a < total - 1 and 3 * a >= total and self.spare(a, taken) and (two := self.pair(total - a, (*taken, a), order, a)):
+                return (a, *two)
+        return None
+
+    def use(self, lengths: Sequence[int], times: int) -> None:
+        for k in lengths:
+            self.left[k] -= times
+        self.lengths = [k for k in self.lengths if self.left[k]]
+
+
+def filled(left: np.ndarray, most_partners: int = 3, choose: random.Random | None = None) -> list[Combination]:
+    """Combinations that hold every piece of a histogram; `choose` varies them."""
+    index, capacity, found = SumIndex(left), len(left) - 1, []
+    while index.lengths:
+        lengths = [index.lengths[0]]
+        while gap := capacity - sum(lengths):
+            order = choose.choice((1, -1)) if choose else 1
+            exact = index.single(gap, lengths) if most_partners else None
+            if not exact and most_partners > 1:
+                exact = index.pair(gap, lengths, order)
+            if not exact and most_partners > 2:
+                exact = index.triple(gap, lengths, order)
+            if exact:
+                lengths += exact
+                break
+            if (fits := index.longest(gap, lengths)) is None:
+                break
+            if choose and choose.random() < 0.3:
+                fits = index.longest(choose.randint(1, fits), lengths) or fits
+            lengths.append(fits)
+        times = min(index.left[k] // n for k, n in Counter(lengths).items())
+        if choose and 1 < times <= APART:
+            times = choose.randint(1, times)
+        index.use(lengths, times)
+        found.append((tuple(lengths), times))
+    return found
+
+
+def _count(combinations: Iterable[Combination]) -> int:
+    return sum(times for _, times in combinations)
+
+
+def repaired(combinations: list[Combination], capacity: int, bound: int, seed: int = 0) -> list[Combination]:
+    """Fills sequences that aren't full, and some others, anew; never more sequences, and no fewer than the bound."""
+    choose = random.Random(seed)
+    for _ in range(ROUNDS):
+        if _count(combinations) <= bound:
+            break
+        sums = [sum(lengths) for lengths, _ in combinations]
+        part = [i for i, n in enumerate(sums) if n < capacity]
+        part = set(part if len(part) <= APART else choose.sample(part, APART))
+        whole = [i for i, n in enumerate(sums) if n == capacity and len(combinations[i][0]) > 1]
+        part |= set(choose.sample(whole, min(len(whole), choose.randint(1, APART))))
+        left = np.zeros(capacity + 1, np.int64)
+        for i in part:
+            for k in combinations[i][0]:
+                left[k] += combinations[i][1]
+        anew = filled(left, choose=choose)
+        if _count(anew) <= _count(combinations[i] for i in part):
+            combinations = [c for i, c in enumerate(combinations) if i not in part] + anew
+    return combinations
+
+
 class Plan:
     """For each length, which of its pieces by rank go to which sequence and offset."""
 
     def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, most_partners: int = 3):
-        self.capacity, self.left, self.sequences = capacity, np.zeros(capacity + 1, dtype=np.int64), 0
+        left = np.zeros(capacity + 1, dtype=np.int64)
         for length, n in counts.items():
             if not 0 < length <= capacity:
                 raise ValueError(f"length {length}")
-            self.left[length] = n
+            left[length] = n
+        #: No plan has fewer sequences: by the tokens, and by the pieces of which no two fit one sequence.
+        self.bound = max(-(-sum(k * n for k, n in counts.items()) // capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
+        self.capacity, self.sequences = capacity, 0
         self.used = np.zeros(capacity + 1, dtype=np.int64)
         #: By length: (first rank, first sequence, offset); each holds until the next one's first rank.
         self.places: dict[int, list[tuple[int, int, int]]] = {}
-        self._take((capacity,), int(self.left[capacity]))
-        for partners in range(1, most_partners + 1):
-            for length in range(capacity - 1, 0, -1):
-                while self.left[length] and (found := self._complement(length, partners)):
-                    need = Counter((length, *found))
-                    self._take((length, *found), min(int(self.left[k]) // n for k, n in need.items()))
-        self._best_fit()
-
-    @classmethod
-    def best(cls, counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
-        """The plan with the fewest sequences; with the most partners among equals."""
-        return min((cls(counts, capacity, n) for n in (3, 2, 1)), key=lambda plan: plan.sequences)
-
-    def _take(self, lengths: tuple[int, ...], times: int) -> None:
-        if times <= 0:
-            return
-        offset = 0
-        for length in lengths:
-            self.places.setdefault(length, []).append((int(self.used[length]), self.sequences, offset))
-            self.used[length] += times
-            self.left[length] -= times
-            offset += length
-        self.sequences += times
-
-    def _spare(self, length: int, taken: tuple[int, ...]) -> bool:
-        return 0 < length <= self.capacity and self.left[length] > taken.count(length)
-
-    def _pair(self, total: int, most: int, taken: tuple[int, ...]) -> tuple[int, int] | None:
-        """Two available lengths of this sum, the longer of `most` at most; the longest first."""
-        low, high = (total + 1) // 2, min(most, total - 1)
-        if low > high:
-            return None
-        longer = np.arange(high, low - 1, -1)
-        for i in np.nonzero((self.left[longer] > 0) & (self.left[total - longer] > 0))[0]:
-            a = int(longer[i])
-            if self._spare(a, taken) and self._spare(total - a, (*taken, a)):
-                return a, total - a
-        return None
-
-    def _complement(self, length: int, partners: int) -> tuple[int, ...] | None:
-        """So many available lengths that fill what `length` leaves free."""
-        gap, taken = self.capacity - length, (length,)
-        if partners == 1:
-            return (gap,) if self._spare(gap, taken) else None
-        if partners == 2:
-            return self._pair(gap, length, taken)
-        for a in np.nonzero(self.left[: min(length, gap - 2) + 1])[0][::-1].tolist() if gap > 2 else ():
-            if self._spare(a, taken) and (pair := self._pair(gap - a, a, (*taken, a))):
-                return (a, *pair)
-        return None
-
-    def _best_fit(self) -> None:
-        """The rest, longest first, each into the fullest group of equal bins that it fits."""
-        bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-        for length in np.nonzero(self.left)[0][::-1].tolist():
-            n = int(self.left[length])
-            while n:
-                room = min((g for g in bins if g >= length), default=None)
-                if room is None:
-                    each = self.capacity // length
-                    for held, times in ((each, n // each), (n % each, int(n % each > 0))):
-                        if times:
-                            bins.setdefault(self.capacity - held * length, []).append(((length,) * held, times))
-                    break
-                lengths, times = bins[room].pop()
-                if not bins[room]:
-                    del bins[room]
-                each = min(room // length, n)
-                filled = min(times, n // each)
-                bins.setdefault(room - each * length, []).append(((*lengths, *(length,) * each), filled))
-                if times > filled:
-                    bins.setdefault(room, []).append((lengths, times - filled))
-                n -= filled * each
-        for group in bins.values():
-            for lengths, times in group:
-                self._take(lengths, times)
+        for lengths, times in repaired(filled(left, most_partners), capacity, self.bound):
+            offset = 0
+            for length in lengths:
+                self.places.setdefault(length, []).append((int(self.used[length]), self.sequences, offset))
+                self.used[length] += times
+                offset += length
+            self.sequences += times
 
     def arrays(self) -> dict[int, np.ndarray]:
         return {length: np.array(sorted(rows), dtype=np.int64).T for length, rows in self.places.items()}
@@ -220,7 +257,7 @@ def pack_documents(docs: DataFrame, text: str = "text", path: str | None = None,
     common.require(docs, doc_id="bigint", **{text: "string"})
     cutup = common.cut(pieces(docs, text, path, capacity))
     counts = {r["length"]: r["n"] for r in cutup.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = Plan.best(counts, capacity)
+    plan = Plan(counts, capacity)
     at = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "piece", "ids_crc32"))
     keyed = cutup.withColumn("at", at)
     digits = common.bucket_digits(sum(counts.values()), PIECES_PER_BUCKET)

@@ -106,20 +106,26 @@ def encode_bmp(samples: np.ndarray) -> bytes:
 def area_resize(stack: np.ndarray, height: int, width: int) -> np.ndarray:
     """The mean over each cell of a height x width grid laid on each image of the stack, cells cutting samples in part.
 
-    An integral image holds the sums of all samples above and to the left; between its points it is linear.
+    An integral image holds the sums of all samples above and to the left; between its points it is linear. Only
+    its rows at the edges of the grid are made: the sums of the samples between them, without a copy of the image.
     """
     n, rows, columns = stack.shape
-    whole = np.zeros((n, rows + 1, columns + 1))
-    np.cumsum(stack, axis=1, out=whole[:, 1:, 1:], dtype=np.float64)
-    np.cumsum(whole[:, 1:, 1:], axis=2, out=whole[:, 1:, 1:])
 
-    def at(grid: np.ndarray, axis: int, size: int, cells: int) -> np.ndarray:
+    def edges(size: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
         edge = np.arange(cells + 1) * size / cells
         low = np.minimum(edge.astype(np.int64), size - 1)
-        part = (edge - low).reshape([-1 if a == axis else 1 for a in range(3)])
-        return np.take(grid, low, axis) * (1 - part) + np.take(grid, low + 1, axis) * part
-
-    sums = at(at(whole, 1, rows, height), 2, columns, width)
+        return low, edge - low
+
+    low, part = edges(rows, height)
+    above, at, strips = np.zeros((n, columns), np.int64), 0, []
+    for i, p in zip(low.tolist(), part.tolist(), strict=True):
+        above = above + stack[:, at:i].sum(axis=1, dtype=np.int64)
+        at = i
+        strips.append(above + stack[:, i] * p)
+    whole = np.zeros((n, height + 1, columns + 1))
+    np.cumsum(np.stack(strips, axis=1), axis=2, out=whole[:, :, 1:])
+    low, part = edges(columns, width)
+    sums = np.take(whole, low, 2) * (1 - part) + np.take(whole, low + 1, 2) * part
     cells = np.diff(np.diff(sums, axis=1), axis=2)
     return cells / (rows / height * columns / width)
 

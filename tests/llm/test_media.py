@@ -1,4 +1,6 @@
 import hashlib
+import io
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -6,7 +8,7 @@ import pytest
 
 from tamarack.llm import media
 
-from .conftest import ODD
+from .conftest import ODD, prose
 
 
 def test_odd_rows(odd):
@@ -46,6 +48,35 @@ def test_area_resize(shape):
     assert np.allclose(media.area_resize(image[None], 8, 9)[0], brute_resize(image, 8, 9))
 
 
+def brute_hash(image):
+    small = np.round(brute_resize(image, 8, 9), 6)
+    return "".join("1" if small[r, c] < small[r, c + 1] else "0" for r in range(8) for c in range(8))
+
+
+def test_features_equal_brute_force(docs):
+    """media_sha256 of the NPY file that numpy writes, and the hashes of the whole image and of each tile."""
+    texts = ["", "x", prose(1, 100), prose(2, 900), "Ä" * 400, "".join(chr(32 + i * i % 90) for i in range(5000))]
+    found = {r.doc_id: r for r in media.media_features(media.store_media(docs(list(enumerate(texts))))).collect()}
+    for i, text in enumerate(texts):
+        payload = text.encode() + b"\xff" * (-len(text.encode()) % 576 or (0 if text else 576))
+        tiles = np.frombuffer(payload, np.uint8).reshape(-1, 24, 24)
+        stored = io.BytesIO()
+        np.save(stored, tiles)
+        assert found[i].media_sha256 == hashlib.sha256(stored.getvalue()).hexdigest() and found[i].media_bytes == len(stored.getvalue())
+        whole = int(brute_hash(tiles.reshape(-1, 24)), 2)
+        check = zlib.crc32(b"".join(int(brute_hash(t), 2).to_bytes(8, "big") for t in tiles))
+        assert found[i].feature == f"{whole:016x}:{check:08x}"
+
+
+def test_a_long_image_is_resized_without_a_copy_of_it():
+    image = np.random.default_rng(3).integers(0, 256, (1, 1_000_000, 24)).astype(np.uint8)
+    tracemalloc.start()
+    small = media.area_resize(image, 8, 9)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 2_000_000 and np.allclose(small[0], brute_resize(image[0].reshape(8, 125_000, 24).mean(axis=1), 8, 9))
+
+
 def test_difference_hash():
     rising = np.tile(np.arange(24, dtype=np.uint8) * 10, (24, 1))
     assert media.difference_hashes(np.stack([rising, rising[:, ::-1], np.full((24, 24), 7, np.uint8)])).tolist() == [2**64 - 1, 0, 0]

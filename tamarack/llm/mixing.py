@@ -2,7 +2,7 @@
 
 Each source has a mean repetition rate: its target share of the bytes over its present share. A document's
 number of copies is a Poisson number with that mean, got by inverting the distribution at a uniform number
-hashed from its identifier, or from that and a digest of its text. Copies are exploded and put in one global random order.
+hashed from its identifier and a digest of its text. Copies are exploded and put in one global random order.
 """
 
 from __future__ import annotations
@@ -78,7 +78,6 @@ def mix_sources(
     text: str = "text",
     seed: int = SEED,
     numbered: bool = True,
-    by_text: bool = False,
 ) -> DataFrame:
     """The mixture: all columns of docs for each copy, then copy (from 1) and position (0, 1, 2 ... overall).
 
@@ -86,11 +85,10 @@ def mix_sources(
     Without `numbered` the columns are those of docs alone; partitions are dealt by the key that position
     orders by and sorted by it, with no numbers and so no counts.
 
-    The same doc_id always gets the same number of copies at the same rate, which may be 0: rows that share a
-    doc_id, as all with a null one, stay or go together. With `by_text` the number is drawn from doc_id and a
-    digest of the text, so that different texts draw independently. A null source is a source of its own.
-    position orders by an MD5 of seed, doc_id (with `by_text` the digest too) and copy, then by doc_id, copy
-    and text checksum. Empty table: empty result. Numbered,
+    The number of copies, which may be 0, is drawn from doc_id and the text's MD5: different texts draw independently
+    though they share a doc_id, as those with a null one do; rows that share both draw alike. A null source is a
+    source of its own. position orders by an MD5 of seed, doc_id, the text's MD5 and copy, then by doc_id and copy.
+    Null text is empty. Empty table: empty result. Numbered,
     columns named copy or position in docs are replaced.
     """
     common.require(docs, doc_id="bigint", source="string", **{text: "string"})
@@ -105,12 +103,10 @@ def mix_sources(
         return copies.withColumn("m_at", at).drop("m_n", "m_digest")
 
     names = [F.col("doc_id").alias("m_id"), F.col("source").cast("string").alias("m_source")]
-    key = [F.col("m_id")]
-    if by_text:
-        names.append(F.xxhash64(common.text_or_empty(text)).alias("m_digest"))
-        key.append(F.col("m_digest"))
+    names.append(F.md5(common.text_or_empty(text).cast("binary")).alias("m_digest"))
+    key = [F.col("m_id"), F.col("m_digest")]
     wide = exploded(docs.select(common.packed(docs).alias("row"), *names))
-    order = [F.col("m_id"), F.col("m_copy"), F.crc32(common.text_or_empty(f"row.{text}"))]
+    order = [F.col("m_id"), F.col("m_copy")]
     if not numbered:
         return common.unpacked(wide.repartition("m_at").sortWithinPartitions("m_at", *order), "row", docs.schema)
     planned = rates.agg(F.sum(F.col("bytes") * F.col("rate"))).first()[0] or 0.0

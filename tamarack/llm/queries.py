@@ -173,13 +173,15 @@ chances AS (
 tables AS (SELECT source, parts, list(cdf ORDER BY k) AS cdf FROM chances GROUP BY source, parts),
 drawn AS (
   SELECT d.*, t.cdf, unnest(range(1, t.parts + 1)) AS part
-  FROM (SELECT row_number() OVER () AS row, * FROM documents) d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
+  FROM (SELECT row_number() OVER () AS row, md5(coalesce(text, '')) AS digest, * FROM documents) d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
 numbers AS (
-  SELECT row, doc_id, text, lang, source, n_chars,
-    sum(len(list_filter(cdf, lambda c: c < (('0x' || substr(md5('copies-20:' || coalesce(doc_id::VARCHAR, '') || ':' || part), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE))) AS n
+  SELECT row, doc_id, digest, text, lang, source, n_chars,
+    sum(len(list_filter(cdf, lambda c: c < (('0x' || substr(md5('copies-20:' || coalesce(doc_id::VARCHAR, '') || ':' || digest || ':' || part), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE))) AS n
   FROM drawn GROUP BY ALL),
-copies AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n::BIGINT + 1))::INTEGER AS copy FROM numbers)
-SELECT *, row_number() OVER (ORDER BY md5('order-20:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), doc_id, copy) - 1 AS position FROM copies
+copies AS (SELECT doc_id, digest, text, lang, source, n_chars, unnest(range(1, n::BIGINT + 1))::INTEGER AS copy FROM numbers)
+SELECT doc_id, text, lang, source, n_chars, copy,
+  row_number() OVER (ORDER BY md5('order-20:' || coalesce(doc_id::VARCHAR, '') || ':' || digest || ':' || copy), doc_id, copy) - 1 AS position
+FROM copies
 """,
     "op8_exact_dedup": """
 WITH n AS (SELECT row_number() OVER () AS row, doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)

@@ -15,6 +15,10 @@ def unit(*parts):
     return (int(hashlib.md5(":".join("" if p is None else str(p) for p in parts).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
 
 
+def md5(text):
+    return hashlib.md5((text or "").encode()).hexdigest()
+
+
 def poisson(mean, u):
     k, p = 0, math.exp(-mean)
     total = p
@@ -36,7 +40,7 @@ def brute(rows, weights=None, scale=1.0):
     for doc_id, text, source in rows:
         rate = weight[source] * scale * sum(size.values()) / whole / size[source] if whole else 0
         parts = max(1, math.ceil(rate / mixing.LARGEST_PART))
-        n = sum(poisson(rate / parts, unit("copies-20", doc_id, part)) for part in range(1, parts + 1))
+        n = sum(poisson(rate / parts, unit("copies-20", doc_id, md5(text), part)) for part in range(1, parts + 1))
         found.update({(doc_id, text, source, copy): 1 for copy in range(1, n + 1)})
     return found
 
@@ -71,7 +75,7 @@ def test_weights_scale_and_large_rates(docs, monkeypatch, coarse):
     assert got(mixed) == brute(rows, weights, 3.0)
     assert {r.source for r in mixed.collect()} <= {"s0", "s1", "tiny"}
     found = sorted(mixed.collect(), key=lambda r: r.position)
-    keys = [hashlib.md5(f"order-20:{r.doc_id}:{r.copy}".encode()).hexdigest() for r in found]
+    keys = [hashlib.md5(f"order-20:{r.doc_id}:{md5(r.text)}:{r.copy}".encode()).hexdigest() for r in found]
     assert keys == sorted(keys)
     assert mixing.mix_sources(df, {}).collect() == []
 
@@ -89,9 +93,10 @@ def test_no_python_in_the_plan(odd):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-def test_the_pipeline_draws_null_and_repeated_ids_by_their_texts(docs):
+@pytest.mark.parametrize("mix", [lambda df: corpus_pipeline.mix(df.sparkSession, df, ""), mixing.mix_sources])
+def test_null_and_repeated_ids_are_drawn_by_their_texts(docs, mix):
     df = docs([(None, prose(i, 5)) for i in range(400)] + [(7, prose(1000 + i, 5)) for i in range(400)])
-    mixed = corpus_pipeline.mix(df.sparkSession, df, "").collect()
+    mixed = mix(df).collect()
     for doc_id in (None, 7):
         copies = Counter(r.text for r in mixed if r.doc_id == doc_id)
         assert 340 <= sum(copies.values()) <= 460 and 200 <= len(copies) <= 300 and max(copies.values()) >= 3
@@ -99,7 +104,7 @@ def test_the_pipeline_draws_null_and_repeated_ids_by_their_texts(docs):
 
 def test_unnumbered_rows_are_written_in_random_order(docs, tmp_path):
     df = docs([(i, prose(i, 5)) for i in range(500)]).coalesce(1)
-    mixing.mix_sources(df, scale=4.0, numbered=False, by_text=True).write.parquet(str(tmp_path / "mixed"))
+    mixing.mix_sources(df, scale=4.0, numbered=False).write.parquet(str(tmp_path / "mixed"))
     total = side_by_side = rising = 0
     for file in sorted((tmp_path / "mixed").glob("*.parquet")):
         ids = pq.read_table(file)["doc_id"].to_pylist()

@@ -28,8 +28,6 @@ from . import common, rolling
 LEAST_LENGTH = 20
 PARTS = 3
 BLANKS = " \t\r\x0b\x0c"
-#: Candidate lines are fetched by a broadcast of their documents' keys (16 bytes each) up to so many.
-BROADCAST_DOCUMENTS = 200_000
 #: Variants that a Python worker gathers before it sends them on.
 VARIANTS_AT_ONCE = 1 << 16
 
@@ -124,13 +122,14 @@ def candidates(firsts: DataFrame, docs: DataFrame, text: str = "text") -> DataFr
     shared = common.cut(keyed.groupBy("coarse").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("coarse"))
     found = keyed.join(shared, "coarse").groupBy("lid").agg(F.collect_set("slot").alias("slots"))
     found = common.cut(firsts.select("lid", "doc_id", "key", "line_no").join(found, "lid"))
-    wanted = found.select(F.col("doc_id").alias("w_id"), F.col("key").alias("w_key")).distinct()
-    if wanted.count() <= BROADCAST_DOCUMENTS:
-        wanted = F.broadcast(wanted)
+    # Their texts are read again. Filters choose the documents that are split and the lines that are shuffled.
+    documents = common.KeyFilter(found.select(F.xxhash64("doc_id", "key")))
+    lines = common.KeyFilter(found.select(F.xxhash64("doc_id", "key", "line_no")))
     whole = common.text_or_empty(text)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("t_id"), F.xxhash64(whole).alias("t_key"), whole.alias("t_text"))
-    texts = texts.join(wanted, F.col("t_id").eqNullSafe(F.col("w_id")) & (F.col("t_key") == F.col("w_key")), "left_semi")
+    texts = documents.mark(texts, F.xxhash64("t_id", "t_key"), "asked").where("asked")
     texts = texts.select("t_id", "t_key", F.posexplode(F.split("t_text", "\n")).alias("t_no", "t_raw"))
+    texts = lines.mark(texts, F.xxhash64("t_id", "t_key", "t_no"), "asked").where("asked")
     same = F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("key") == F.col("t_key")) & (F.col("line_no") == F.col("t_no"))
     named = texts.join(found, same).select("lid", "doc_id", "key", "line_no", "slots", F.btrim("t_raw", F.lit(BLANKS)).alias("line"))
     return common.cut(named.dropDuplicates(["lid"]))

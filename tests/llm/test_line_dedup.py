@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tamarack.llm import line_dedup
+from tamarack.llm import common, line_dedup
 
 from .conftest import ODD
 
@@ -84,8 +84,10 @@ def test_a_common_line_and_a_template(docs):
     assert got(docs(rows).repartition(5)) == brute(rows)
 
 
-def test_without_the_broadcast(docs, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BROADCAST_DOCUMENTS", 0)
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_with_filters_of_any_size(docs, monkeypatch, bits):
+    monkeypatch.setattr(common, "FILTER_BLOCK", min(bits, 1 << 15))
+    monkeypatch.setattr(common, "FILTER_MOST_BITS", bits)
     rows = [(i, f"a line that is long enough number {i}") for i in range(20)]
     assert got(docs(rows)) == brute(rows)
 

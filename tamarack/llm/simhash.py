@@ -368,7 +368,8 @@ def _grouped(rows: DataFrame, nodes: DataFrame, edges: DataFrame, names: list[st
     roots = components(edges).withColumnRenamed("node", "r_node")
     rooted = nodes.join(roots, F.col("node") == F.col("r_node"), "left")
     rooted = common.cut(rooted.select(*names, F.coalesce("root", "node").alias("root"), "least"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    # Cut, so that the side of the nodes is a plain shuffle, in which Spark can split a large component.
+    least = common.cut(rooted.groupBy("root").agg(F.min("least").alias("least")))
     of = rooted.select(*[F.col(n).alias(f"n_{n}") for n in names], "root").join(least, "root")
     same = functools.reduce(lambda a, b: a & b, [F.col(n) == F.col(f"n_{n}") for n in names])
     first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key"))

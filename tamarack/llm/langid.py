@@ -84,12 +84,14 @@ def shares(counts: np.ndarray) -> np.ndarray:
 
 
 def foreign(x: np.ndarray, kept: np.ndarray, random: np.random.Generator) -> np.ndarray:
-    """Shares of texts of no language: of each row's buckets a random part stays, and the others change places."""
-    out = np.zeros_like(x)
-    for row, part in enumerate(kept):
-        own = random.random(x.shape[1]) < part
-        out[row, own] = x[row, own]
-        np.add.at(out[row], random.permutation(x.shape[1])[~own], x[row, ~own])
+    """Shares of texts of no language: of each row's buckets a random part stays, and the others change places.
+
+    OTHERS rows change places alike.
+    """
+    moved = np.where(random.random(x.shape, dtype=np.float32) < kept[:, None], np.float32(0), x)
+    out = x - moved
+    for i in range(0, len(x), OTHERS):
+        out[i : i + OTHERS] += moved[i : i + OTHERS, random.permutation(x.shape[1])]
     return out
 
 
